@@ -6,33 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.functions.keys import stable_index
-from gristmill.functions.text import _c, float_of, strip
+from gristmill.functions.text import _c, float_of, let, strip
 
 
 def four_digits(x: Column) -> Column:
     """A double with four significant digits and no trailing zeros, in scientific
     form below 1e-4 and from 1e4 on."""
-    exponent = F.floor(F.log10(F.abs(x)))
-    # Rounding may carry into the next power of ten, so the exponent is read back.
-    science = F.format_string("%.3e", x)
-    power = F.when(x == 0, F.lit(0)).otherwise(F.substring_index(science, "e", -1).cast("int"))
-    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(science, "e", 1), r"0+$", ""), r"\.$", "")
-    sign = F.when(power < 0, "-").otherwise("+")
-    long_form = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
-    shapes = [F.when(power == p, F.format_string(f"%.{3 - p}f", x)) for p in range(-4, 4)]
-    fixed = F.regexp_replace(F.coalesce(*shapes), r"0+$", "")
-    fixed = F.regexp_replace(F.when(F.coalesce(*shapes).contains("."), fixed).otherwise(F.coalesce(*shapes)), r"\.$", "")
-    return F.when((power < -4) | (power >= 4) & exponent.isNotNull(), long_form).otherwise(fixed)
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    parts = lambda s: F.struct(
+        F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
+        F.regexp_replace(F.substring_index(s, "e", 1), "[-.]", "").alias("digits"),
+        F.substring_index(s, "e", -1).cast("int").alias("power"),
+    )
+
+    def write(v: Column) -> Column:
+        d, p = v["digits"], v["power"]
+        large = F.concat(F.substr(d, F.lit(1), p + 1), F.lit("."), F.substr(d, p + 2))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -p - 1), d)
+        science = F.concat(trimmed(F.concat(F.substr(d, F.lit(1), F.lit(1)), F.lit("."), F.substr(d, F.lit(2)))), F.lit("e"), F.when(p < 0, "-").otherwise("+"), F.lpad(F.abs(p).cast("string"), 2, "0"))
+        return F.concat(v["sign"], F.when((p < -4) | (p >= 4), science).when(p >= 0, trimmed(large)).otherwise(trimmed(small)))
+
+    return let(F.format_string("%.3e", x), lambda s: let(parts(s), write))
 
 
 def shift_number(answer: Column | str) -> Column:
     """The number moved up by a twentieth, by 1 (0.1 for fractions) at least; null
     where the answer is no finite number."""
-    value = float_of(answer)
-    whole = value == F.floor(value)
-    moved = value + F.greatest(F.abs(value) * 0.05, F.when(whole, 1.0).otherwise(0.1))
-    text = F.when(whole, F.bround(moved.cast("decimal(38,6)"), 0).cast("decimal(38,0)").cast("string")).otherwise(four_digits(moved))
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), text)
+
+    def move(v: Column) -> Column:
+        whole = v == F.floor(v)
+        moved = v + F.greatest(F.abs(v) * 0.05, F.when(whole, 1.0).otherwise(0.1))
+        text = F.when(whole, F.bround(moved.cast("decimal(38,6)"), 0).cast("decimal(38,0)").cast("string")).otherwise(four_digits(moved))
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), text)
+
+    return let(float_of(answer), move)
 
 
 def flip(answer: Column | str) -> Column:
@@ -43,12 +50,15 @@ def flip(answer: Column | str) -> Column:
 def alternate(answer: Column | str, candidates: Column, seed: int | None) -> Column:
     """Another candidate, picked by a hash of the answer.  A single letter from A to
     D without candidates has those four."""
-    own = strip(answer)
     letters = F.array(*map(F.lit, "ABCD"))
     given = F.coalesce(candidates, F.array().cast("array<string>"))
-    pool = F.when((F.size(given) == 0) & own.rlike("^[A-Da-d]$"), letters).otherwise(given)
-    others = F.filter(pool, lambda c: F.lower(c) != F.lower(own))
-    return F.when(F.size(others) > 0, F.get(others, stable_index(own, seed, F.size(others)).cast("int")))
+
+    def pick(v: Column) -> Column:
+        pool = F.when((F.size(v["given"]) == 0) & v["own"].rlike("^[A-Da-d]$"), letters).otherwise(v["given"])
+        others = F.filter(pool, lambda c: F.lower(c) != F.lower(v["own"]))
+        return let(others, lambda o: F.when(F.size(o) > 0, F.get(o, stable_index(v["own"], seed, F.size(o)).cast("int"))))
+
+    return let(F.struct(strip(answer).alias("own"), given.alias("given")), pick)
 
 
 def perturbation(answer: Column | str, answer_type: Column | str, candidates: Column, seed: int | None) -> Column:
@@ -62,7 +72,7 @@ def perturbation(answer: Column | str, answer_type: Column | str, candidates: Co
     name = (
         F.when(kind == "yes_no", "yes_no_flip").when(kind == "numeric", "numeric_shift").when(kind == "multiple_choice", "choice_swap").when(kind == "text", "text_swap")
     )
-    return F.when(new.isNotNull(), F.struct(new.alias("answer"), name.alias("kind")))
+    return let(F.struct(new.alias("answer"), name.alias("kind")), lambda p: F.when(p["answer"].isNotNull(), p))
 
 
 def replace_answer(output: Column | str, answer: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import _c, collapse, float_of, first_truthy, normalize_text
+from gristmill.functions.text import _c, collapse, first_truthy, float_of, let, normalize_text
 
 # Labels that stand for nothing.
 PLACEHOLDERS = ("x", "y", "x1", "x2", "y1", "y2", "series name")
@@ -42,21 +42,23 @@ def split_values(text: Column) -> Column:
 
 def all_floats(values: Column) -> Column:
     """Doubles, or null if there are no values or one is no number."""
-    parsed = F.transform(values, float_of)
-    return F.when((F.size(values) > 0) & F.forall(parsed, lambda v: v.isNotNull()), parsed)
+    ok = lambda p: F.when((F.size(p) > 0) & F.forall(p, lambda v: v.isNotNull()), p)
+    return let(F.transform(values, float_of), ok)
 
 
 def variant_values(text: Column) -> Column:
     """Values parted by separators, commas or semicolons, or by spaces if all are numbers."""
-    t = collapse(text)
-    words = F.split(t, " ")
-    return (
-        F.when(t.isNull() | (t == ""), _empty())
-        .when(t.rlike(r"(?i)<sep\s*/>"), split_values(t))
-        .when(t.rlike("[,;]"), _filled(F.split(t, "[,;]+")))
-        .when((F.size(words) > 1) & all_floats(words).isNotNull(), words)
-        .otherwise(F.array(t))
-    )
+
+    def split(t: Column) -> Column:
+        words = let(F.split(t, " "), lambda w: F.when((F.size(w) > 1) & all_floats(w).isNotNull(), w))
+        return (
+            F.when(t.isNull() | (t == ""), _empty())
+            .when(t.rlike(r"(?i)<sep\s*/>"), split_values(t))
+            .when(t.rlike("[,;]"), _filled(F.split(t, "[,;]+")))
+            .otherwise(F.coalesce(words, F.array(t)))
+        )
+
+    return let(collapse(text), split)
 
 
 def has_placeholder(values: Column) -> Column:
@@ -67,18 +69,25 @@ def axes(raw_x: Column, raw_y: Column) -> Column:
     """``struct<x, y>`` with the numeric side as y; empty where neither is numeric."""
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     none = pair(_empty(), _empty("array<double>"))
-    y, x = all_floats(raw_y), all_floats(raw_x)
-    return (
-        F.when(has_placeholder(raw_x) | has_placeholder(raw_y), none)
-        .when(y.isNotNull(), pair(raw_x, y))
-        .when(x.isNotNull(), pair(raw_y, x))
-        .otherwise(none)
-    )
+
+    def choose(v: Column) -> Column:
+        return (
+            F.when(has_placeholder(v["x"]) | has_placeholder(v["y"]), none)
+            .when(v["yn"].isNotNull(), pair(v["x"], v["yn"]))
+            .when(v["xn"].isNotNull(), pair(v["y"], v["xn"]))
+            .otherwise(none)
+        )
+
+    numbered = lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), all_floats(v["x"]).alias("xn"), all_floats(v["y"]).alias("yn"))
+    return let(pair(raw_x, raw_y), lambda v: let(numbered(v), choose))
 
 
 def _series(name: Column, pair: Column) -> Column:
-    size = F.least(F.size(pair["x"]), F.size(pair["y"]))
-    return F.struct(name.alias("name"), F.slice(pair["x"], 1, size).alias("x"), F.slice(pair["y"], 1, size).alias("y"))
+    def cut(s: Column) -> Column:
+        size = F.least(F.size(s["p"]["x"]), F.size(s["p"]["y"]))
+        return F.struct(s["n"].alias("name"), F.slice(s["p"]["x"], 1, size).alias("x"), F.slice(s["p"]["y"], 1, size).alias("y"))
+
+    return let(F.struct(name.alias("n"), pair.alias("p")), cut)
 
 
 def pick_group(groups: Column, i: Column) -> Column:
@@ -87,12 +96,17 @@ def pick_group(groups: Column, i: Column) -> Column:
 
 
 def parse_tags(text: Column) -> Column:
-    names = F.transform(tag_bodies(text, "s_name"), collapse)
-    x = F.transform(tag_bodies(text, "s_x"), split_values)
-    y = F.transform(tag_bodies(text, "s_y"), split_values)
-    name = lambda i: F.coalesce(F.nullif(F.get(names, i), F.lit("")), F.concat(F.lit("series_"), i.cast("string")))
-    found = F.transform(y, lambda v, i: _series(name(i), axes(pick_group(x, i), v)))
-    return F.filter(found, lambda s: F.size(s["x"]) > 0)
+    groups = F.struct(
+        F.transform(tag_bodies(text, "s_name"), collapse).alias("names"),
+        F.transform(tag_bodies(text, "s_x"), split_values).alias("x"),
+        F.transform(tag_bodies(text, "s_y"), split_values).alias("y"),
+    )
+
+    def series(g: Column) -> Column:
+        name = lambda i: F.coalesce(F.nullif(F.get(g["names"], i), F.lit("")), F.concat(F.lit("series_"), i.cast("string")))
+        return F.transform(g["y"], lambda v, i: _series(name(i), axes(pick_group(g["x"], i), v)))
+
+    return F.filter(let(groups, series), lambda s: F.size(s["x"]) > 0)
 
 
 def attribute(attributes: Column, key: str) -> Column:
@@ -126,8 +140,8 @@ def parse_series(text: Column) -> Column:
 def parse(text: Column | str) -> Column:
     """Series of either form, bounding boxes left out."""
     bare = without_boxes(text)
-    tagged = parse_tags(bare)
-    return F.when(F.size(tagged) > 0, tagged).otherwise(parse_series(bare)).cast(SERIES)
+    either = lambda tagged: F.when(F.size(tagged["s"]) > 0, tagged["s"]).otherwise(parse_series(tagged["t"]))
+    return let(bare, lambda t: let(F.struct(parse_tags(t).alias("s"), t.alias("t")), either)).cast(SERIES)
 
 
 def facts(series: Column) -> Column:
@@ -142,21 +156,22 @@ def harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / F.when(p + r == 0, F.lit(1.0)).otherwise(p + r))
 
 
-def _prf(matches: Column, gold: Column, predicted: Column) -> Column:
-    p, r = matches / predicted, matches / gold
-    return F.struct(p.alias("precision"), r.alias("recall"), harmonic(p, r).alias("f1"))
+def prf(matches: Column, gold: Column, predicted: Column) -> Column:
+    """Precision, recall and F1 from the number of matches."""
+    both = let(F.struct((matches / predicted).alias("p"), (matches / gold).alias("r")), lambda v: F.struct(v["p"].alias("precision"), v["r"].alias("recall"), harmonic(v["p"], v["r"]).alias("f1")))
+    return both
 
 
 def set_prf(gold: Column, predicted: Column) -> Column:
     """Of distinct labels."""
-    g, p = F.array_distinct(gold), F.array_distinct(predicted)
-    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("precision", "recall", "f1")))
-    one = F.struct(*(F.lit(1.0).alias(n) for n in ("precision", "recall", "f1")))
-    return (
-        F.when((F.size(g) == 0) & (F.size(p) == 0), one)
-        .when((F.size(g) == 0) | (F.size(p) == 0), zero)
-        .otherwise(_prf(F.size(F.array_intersect(g, p)).cast("double"), F.size(g), F.size(p)))
-    )
+    flat = lambda x: F.struct(*(F.lit(x).alias(n) for n in ("precision", "recall", "f1")))
+
+    def compare(v: Column) -> Column:
+        g, p = F.size(v["g"]), F.size(v["p"])
+        met = prf(F.size(F.array_intersect(v["g"], v["p"])).cast("double"), g, p)
+        return F.when((g == 0) & (p == 0), flat(1.0)).when((g == 0) | (p == 0), flat(0.0)).otherwise(met)
+
+    return let(F.struct(F.array_distinct(gold).alias("g"), F.array_distinct(predicted).alias("p")), compare)
 
 
 def greedy_matches(gold: Column, predicted: Column, kind: str, matches) -> Column:
@@ -164,9 +179,13 @@ def greedy_matches(gold: Column, predicted: Column, kind: str, matches) -> Colum
     state = F.struct(predicted.cast(f"array<{kind}>").alias("free"), F.lit(0).alias("n"))
 
     def step(s: Column, g: Column) -> Column:
-        at = F.array_position(F.transform(s["free"], lambda p: matches(g, p)), True).cast("int")
-        rest = F.concat(F.slice(s["free"], 1, F.greatest(at - 1, F.lit(0))), F.slice(s["free"], at + 1, F.size(s["free"])))
-        return F.struct(F.when(at > 0, rest).otherwise(s["free"]).alias("free"), (s["n"] + (at > 0).cast("int")).alias("n"))
+        found = F.array_position(F.transform(s["free"], lambda p: matches(g, p)), True).cast("int")
+
+        def use(at: Column) -> Column:
+            rest = F.concat(F.slice(s["free"], 1, F.greatest(at - 1, F.lit(0))), F.slice(s["free"], at + 1, F.size(s["free"])))
+            return F.struct(F.when(at > 0, rest).otherwise(s["free"]).alias("free"), (s["n"] + (at > 0).cast("int")).alias("n"))
+
+        return let(found, use)
 
     return F.aggregate(gold, state, step, lambda s: s["n"].cast("double"))
 
@@ -180,35 +199,41 @@ def values_match(gold: Column, predicted: Column, relative: float = 0.05) -> Col
     return F.coalesce(~F.isnan(gold) & ~F.isnan(predicted) & (F.abs(gold - predicted) <= allowed), F.lit(False))
 
 
-def score_columns(gold_series: Column, predicted_series: Column, gold_facts: Column, predicted_facts: Column, exact: Column) -> dict[str, Column]:
-    """The score and every figure beside it, by name."""
+def metric_columns(gold_series: Column, predicted_series: Column, gold_facts: Column, predicted_facts: Column) -> dict[str, Column]:
+    """Precision, recall and F1 of series names, x labels, points and values; null
+    where either side has no facts."""
     both = (F.size(gold_facts) > 0) & (F.size(predicted_facts) > 0)
-    whole = exact.cast("double")
     labels = lambda s: F.flatten(F.transform(s, lambda v: F.transform(v["x"], normalize_text)))
     names = lambda s: F.transform(s, lambda v: normalize_text(v["name"]))
-    n_gold, n_predicted = F.size(gold_facts), F.size(predicted_facts)
-    series = set_prf(names(gold_series), names(predicted_series))
-    x = set_prf(labels(gold_series), labels(predicted_series))
-    points = _prf(greedy_matches(gold_facts, predicted_facts, FACT, fact_matches), n_gold, n_predicted)
     ys = lambda f: F.transform(f, lambda v: v["y"])
-    values = _prf(greedy_matches(ys(gold_facts), ys(predicted_facts), "double", values_match), n_gold, n_predicted)
+    n_gold, n_predicted = F.size(gold_facts), F.size(predicted_facts)
+    found = {
+        "series": set_prf(names(gold_series), names(predicted_series)),
+        "x": set_prf(labels(gold_series), labels(predicted_series)),
+        "point": prf(greedy_matches(gold_facts, predicted_facts, FACT, fact_matches), n_gold, n_predicted),
+        "value": prf(greedy_matches(ys(gold_facts), ys(predicted_facts), "double", values_match), n_gold, n_predicted),
+    }
+    return {k: F.when(both, v) for k, v in found.items()}
+
+
+def score_columns(metrics: dict[str, Column], gold_series: Column, predicted_series: Column, gold_facts: Column, predicted_facts: Column, exact: Column) -> dict[str, Column]:
+    """The score and every figure beside it, by name."""
+    n_gold, n_predicted = F.size(gold_facts), F.size(predicted_facts)
+    both, whole = (n_gold > 0) & (n_predicted > 0), exact.cast("double")
     out = {"gold_parse_ok": n_gold > 0, "prediction_parse_ok": n_predicted > 0}
-    for prefix, metric in (("series", series), ("x", x), ("x_label", x), ("point", points)):
+    for prefix, metric in (("series", "series"), ("x", "x"), ("x_label", "x"), ("point", "point"), ("value", "value")):
         for part in ("precision", "recall", "f1"):
-            rest = whole if (prefix, part) == ("point", "f1") else F.lit(0.0)
-            out[f"{prefix}_{part}"] = F.when(both, metric[part]).otherwise(rest)
-    out["strict_point_f1"] = F.when(both, points["f1"]).otherwise(whole)
-    for part in ("precision", "recall", "f1"):
-        out[f"value_{part}"] = F.when(both, values[part]).otherwise(whole)
-    component = (series["f1"] + x["f1"] + values["f1"]) / 3
+            rest = whole if prefix == "value" or (prefix, part) == ("point", "f1") else F.lit(0.0)
+            out[f"{prefix}_{part}"] = F.coalesce(metrics[metric][part], rest)
+    out["strict_point_f1"] = out["point_f1"]
+    component = (metrics["series"]["f1"] + metrics["x"]["f1"] + metrics["value"]["f1"]) / 3
     coverage = F.least(n_predicted / F.when(n_gold > 0, n_gold), F.lit(1.0))
     out["component_f1"] = F.when(both, component).otherwise(whole)
     out["fact_coverage"] = F.when(both, coverage).otherwise(whole)
     out["model_quality_score"] = F.when(both, (component + coverage) / 2).otherwise(whole)
     out["count_match"] = F.when(both & (n_gold == n_predicted), 1.0).otherwise(0.0)
     out |= {"gold_series": F.size(gold_series), "predicted_series": F.size(predicted_series), "gold_facts": n_gold, "predicted_facts": n_predicted}
-    out |= {"parse_ok": both, "exact_match": exact}
-    return out
+    return out | {"parse_ok": both, "exact_match": exact}
 
 
 def bucket(score: Column, gold_ok: Column, predicted_ok: Column, exact: Column, prediction: Column) -> Column:

@@ -35,6 +35,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it.
+
+    It goes through an array function, which isn't compiled: for expressions that
+    would otherwise grow with every level, not for the hot path."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def any_of(tests) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -74,8 +82,7 @@ def normalize_yes_no(text: Column | str) -> Column:
 
 def parse_float(text: Column) -> Column:
     """A double, or null where the text isn't a float."""
-    bare = strip(text)
-    return F.when(bare.rlike(FLOAT), bare.try_cast("double"))
+    return F.regexp_extract(strip(text), FLOAT, 0).try_cast("double")
 
 
 def float_of(text: Column | str) -> Column:
@@ -154,8 +161,7 @@ def parse_decimal(text: Column | str) -> Column:
     """``decimal(38,12)``, or null where the text is no number or doesn't fit.
 
     Texts with an exponent go through the same cast, which reads exponents."""
-    bare = _decimal_bare(text)
-    return F.when(bare.rlike(DECIMAL), bare.try_cast("decimal(38,12)"))
+    return F.regexp_extract(_decimal_bare(text), DECIMAL, 0).try_cast("decimal(38,12)")
 
 
 def decimal_text(text: Column | str) -> Column:

@@ -46,8 +46,12 @@ def parse_structures(df: DataFrame) -> DataFrame:
 def score_structures(df: DataFrame) -> DataFrame:
     """Adds ``score``, ``correct`` and all structure figures as ``plotqa_*`` columns."""
     parsed = parse_structures(df).withColumn("__exact", X.normalize_text("gold") == X.normalize_text("prediction"))
-    figures = S.score_columns(*map(F.col, ("gold_series", "predicted_series", "gold_points", "predicted_points", "__exact")))
-    out = parsed.withColumns({f"plotqa_{k}": v for k, v in figures.items()}).drop("gold_series", "predicted_series", "gold_points", "predicted_points", "__exact")
+    sides = [F.col(c) for c in ("gold_series", "predicted_series", "gold_points", "predicted_points")]
+    measured = S.metric_columns(*sides)
+    parsed = parsed.withColumns({f"__{k}": v for k, v in measured.items()})
+    figures = S.score_columns({k: F.col(f"__{k}") for k in measured}, *sides, F.col("__exact"))
+    out = parsed.withColumns({f"plotqa_{k}": v for k, v in figures.items()})
+    out = out.drop("gold_series", "predicted_series", "gold_points", "predicted_points", "__exact", *(f"__{k}" for k in measured))
     return out.withColumn("score", F.col("plotqa_model_quality_score")).withColumn("correct", F.col("score") == 1.0)
 
 
