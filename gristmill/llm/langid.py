@@ -165,6 +165,8 @@ def _hash_piece(piece: str) -> int:
 def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, prior: float = 0.1) -> PieceModel:
     """Expectation-maximisation over the words of each language's texts."""
     model = PieceModel.blank(pieces, sorted(texts))
+    if not texts:
+        return model
     tallies = [pd.Series([w for x in texts[g] for w in LETTERS.findall(x.lower())], dtype=object).value_counts() for g in model.languages]
     counts = pd.concat(tallies, axis=1).fillna(0.0)
     words = counts.index.tolist()
@@ -210,7 +212,9 @@ def _predict_batches(batches, model: PieceModel):
             codes, unique = pd.factorize(np.array(words, object)) if words else (np.empty(0, np.int64), [])
             logs = model.words(list(unique))
             row = np.repeat([i for i, _ in owner], [n for _, n in owner]).astype(np.int64)
-            total = np.stack([np.bincount(row, logs[codes, g], len(texts)) for g in range(len(model.languages))], 1) if len(model.languages) else np.zeros((len(texts), 0))
+            total = np.zeros((len(texts), len(model.languages)))
+            for g in range(len(model.languages)):
+                total[:, g] = np.bincount(row, logs[codes, g], len(texts))
             known = letters & (len(model.languages) > 0)
             best = total.argmax(1) if len(model.languages) else np.zeros(len(texts), int)
             odds = np.exp(total - total.max(1, initial=-np.inf, keepdims=True)) if len(model.languages) else total
