@@ -108,7 +108,8 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
     """Configurations and how many sequences use each, by multiplicative weights."""
     plan: Counter = Counter()
     served = np.zeros(len(sizes))
-    worth = sizes / capacity
+    # A length over a half needs a sequence of its own, which the bound by sizes alone misses.
+    worth = sizes / capacity + 0.5 * (2 * sizes > capacity)
     weights = np.ones(len(sizes))
     for _ in range(rounds):
         chosen = tuple(sorted(price(worth * weights, sizes, demand, capacity)))
