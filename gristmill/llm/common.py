@@ -85,7 +85,10 @@ def text_slices(batch, column: int, limit: int = 4 << 20):
         at = to
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of what ``df`` reads."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """The size of what ``df`` reads by Catalyst's estimate; where it has none (it
+    then assumes the largest number), the bytes of the texts, counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 58:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]

@@ -368,7 +368,7 @@ def score_texts(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     """
     process = process or Process()
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
-    shards = max(12, input_bytes(df) // SHARD_BYTES)
+    shards = max(12, input_bytes(df, text_col) // SHARD_BYTES)
     texts = rows.filter(~F.col("held")).select("text")
     counts = texts.mapInArrow(lambda it: _count_batches(it, shards), _COUNTS).groupBy("shard").applyInPandas(_merge_counts, _COUNTS)
     counts = materialize(counts, "lm-counts")
