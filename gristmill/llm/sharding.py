@@ -102,16 +102,18 @@ def shard(df: DataFrame, key_col: str = "doc_id", content_col: str = "text", lim
     return both.select(F.col("id").alias(key_col), "bytes", name.alias("shard"), "page", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
-def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", content_col: str = "text", limit: int = LIMIT) -> None:
-    """Writes the rows of ``df`` as Parquet, a folder for each shard and page."""
+def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", content_col: str = "text", limit: int = LIMIT, shard_col: str = "shard_id") -> None:
+    """Writes the rows of ``df`` as Parquet, a folder for each shard; ``shard_col``, which
+    names the folders, must not be a column of ``df``."""
     marked = df.withColumn("__bits", hash_bits(key_col, content_col))
-    buckets = materialize(directory(marked.select(F.col("__bits").alias("bits"), F.coalesce(F.octet_length(F.col(content_col)), F.lit(0)).cast("long").alias("bytes")), limit), "shard-directory")
+    size = F.coalesce(F.octet_length(F.col(content_col).cast("string")), F.lit(0)).cast("long")
+    buckets = materialize(directory(marked.select(F.col("__bits").alias("bits"), size.alias("bytes")), limit), "shard-directory")
     out = None
     for high in sorted(r[0] for r in buckets.select("cell_depth").distinct().collect()):
-        own = buckets.filter(F.col("cell_depth") == high).select(F.col("cell").alias("__cell"), F.concat_ws("-", "depth", "prefix").alias("shard"))
+        own = buckets.filter(F.col("cell_depth") == high).select(F.col("cell").alias("__cell"), F.concat_ws("-", "depth", "prefix").alias(shard_col))
         part = marked.withColumn("__cell", F.shiftrightunsigned("__bits", 64 - high)).join(own, "__cell").drop("__cell", "__bits")
         out = part if out is None else out.unionByName(part)
-    (df.withColumn("shard", F.lit("*")) if out is None else out).repartition("shard").write.partitionBy("shard").parquet(path)
+    (df.withColumn(shard_col, F.lit("*")) if out is None else out).repartition(shard_col).write.partitionBy(shard_col).parquet(path)
 
 
 def sharding_query(documents: DataFrame) -> DataFrame:
