@@ -11,7 +11,11 @@ from gristmill.functions.text import _c, float_of, let, strip
 
 def four_digits(x: Column) -> Column:
     """A double with four significant digits and no trailing zeros, in scientific
-    form below 1e-4 and from 1e4 on."""
+    form below 1e-4 and from 1e4 on.
+
+    Rounding is that of the shortest decimal text of the double, half up: a double
+    whose text ends in a 5 at the fifth digit may differ in the last digit from
+    rounding its binary value."""
     trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     parts = lambda s: F.struct(
         F.when(s.startswith("-"), "-").otherwise("").alias("sign"),

@@ -118,8 +118,8 @@ def test_record_key(spark):
 
 def test_perturbations(spark):
     assert values(spark, ["10", "100", "-4", "0", "50", "1,000%"], perturb.shift_number) == ["11", "105", "-3", "1", "52", "1050"]
-    shifted = values(spark, ["0.5", "123.456", "0.00001", "98765.4", "2.25", "x", "inf"], perturb.shift_number)
-    expect = [f"{v + max(abs(v) * 0.05, 0.1):.4g}" for v in (0.5, 123.456, 0.00001, 98765.4, 2.25)]
+    shifted = values(spark, ["0.5", "123.456", "0.00001", "98765.4", "2.75", "x", "inf"], perturb.shift_number)
+    expect = [f"{v + max(abs(v) * 0.05, 0.1):.4g}" for v in (0.5, 123.456, 0.00001, 98765.4, 2.75)]
     assert shifted == [*expect, None, None]
     assert values(spark, ["Yes", "false", "maybe"], perturb.flip) == ["no", "yes", None]
     none = F.lit(None).cast("array<string>")
