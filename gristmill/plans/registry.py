@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import keys, perturb
 from gristmill.functions import text as X
 from gristmill.functions import validation as V
-from gristmill.operators import consensus, mixture, reports, rows, scoring
+from gristmill.operators import builders, consensus, mixture, reports, rows, scoring
 from gristmill.plans import sql, views
 from gristmill.plans.views import table
 from gristmill.sources import images, records
@@ -588,3 +588,72 @@ def image_store(spark, d):
 def media_type(spark, d):
     head = F.substring("html", 1, 40).cast("binary")
     return table(spark, d, "pages").select("page_id", X.media_type(head).alias("media_type"), X.data_url(head).alias("url"))
+
+
+# --- record builders
+
+
+def _built(spark, d):
+    """Core rows of the turn pairs, with an image that every other row lacks."""
+    none = F.lit(None).cast("string")
+    return views.pairs(spark, d).select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"),
+        F.lit("pairs").alias("dataset"),
+        F.lit("p.png").alias("image"),
+        "question",
+        "answer",
+        X.infer_answer_type("answer").alias("answer_type"),
+        none.alias("chart_type"),
+        none.alias("task_type"),
+        F.when(F.col("turn") % 4 == 0, "images/p.png").alias("image_ref"),
+        F.when(F.col("turn") % 4 == 0, "abc").alias("image_sha256"),
+        F.create_map(F.lit("turn"), F.col("turn").cast("string")).alias("metadata"),
+        "turn",
+    )
+
+
+_KEYED = f"""SELECT conv_id || ':' || turn AS sample_id, turn, question, answer, CASE WHEN turn % 4 = 0 THEN 'images/p.png' END AS image_ref, sha256('{{"answer":' || CAST(to_json(answer) AS VARCHAR) || ',"answer_type":"' || {sql.answer_type("answer")} ||
+  '","dataset":"pairs","image_sha256":"' || CASE WHEN turn % 4 = 0 THEN 'abc' ELSE '' END || '","input":' || CAST(to_json(question) AS VARCHAR) || ',"sample_id_fallback":"' || CASE WHEN turn % 4 = 0 THEN '' ELSE conv_id || ':' || turn END ||
+  '","split":"train","task_type":"","version":"{keys.KEY_VERSION}"}}') AS record_key FROM ({views.PAIRS}) p"""
+
+
+@query(
+    "gold_record",
+    f"""SELECT record_key, image_ref AS image, question AS input, '<answer>' || answer || '</answer>' AS output, 'gold' AS example_type, sample_id, '{{"turn":"' || turn || '"}}' AS source_metadata, 'yes' AS traced FROM ({_KEYED}) k""",
+)
+def gold_record(spark, d):
+    rows_ = _built(spark, d).withColumn("output", F.concat(F.lit("<answer>"), "answer", F.lit("</answer>")))
+    rows_ = rows_.withColumn("trace", builders.entries(traced="yes", example_type="overlaid"))
+    made = builders.gold_records(rows_, split="train")
+    m = lambda k: F.element_at("metadata", k).alias(k)
+    return made.select("record_key", "image", "input", "output", m("example_type"), m("sample_id"), m("source_metadata"), m("traced"))
+
+
+@query(
+    "skipped_record",
+    f"""SELECT record_key, sample_id, image_ref, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE 'synthesis_failed' END AS skip_reason, CASE WHEN turn % 2 = 0 THEN 'late' ELSE 'early' END AS error, 'skipped' AS example_type, answer FROM ({_KEYED}) k""",
+)
+def skipped_record(spark, d):
+    none = F.lit(None).cast("string")
+    rows_ = _built(spark, d).withColumns(
+        {
+            "skip_reason": F.when(F.col("turn") % 3 != 0, "synthesis_failed"),
+            "error": F.when(F.col("turn") % 2 != 0, "early").otherwise(""),
+            "synthesis_error": F.lit("late"),
+            "agreed_output": none,
+            "teacher_errors": F.lit(None).cast("map<string,string>"),
+        }
+    )
+    made = builders.skipped_records(rows_, split="train")
+    return made.select("record_key", "sample_id", "image_ref", "skip_reason", "error", "example_type", "answer")
+
+
+@query(
+    "trace_metadata",
+    f"""SELECT sample_id, max(CASE WHEN ord = 0 THEN vote END) AS vote_a, max(CASE WHEN ord = 1 THEN vote END) AS vote_b, bool_or(ord = 0 AND valid) AS valid_a, bool_or(ord = 1 AND valid) AS valid_b,
+  max(CASE WHEN ord = 0 THEN error END) AS error_a, max(CASE WHEN ord = 1 THEN error END) AS error_b, 'stage1' AS reasoning_schema, CAST(count(vote) AS BIGINT) AS n_votes FROM ({_NORM}) x GROUP BY 1""",
+)
+def trace_metadata(spark, d):
+    made = builders.traces(views.tagged(spark, d).withColumn("attempts", F.lit(1)))
+    at = lambda m, p: F.element_at(m, p).alias(f"{m.rstrip('s') if m != 'valid' else m}_{p}")
+    return made.select("sample_id", *(at(m, p) for m in ("votes", "valid", "errors") for p in "ab"), "reasoning_schema", F.size("votes").cast("long").alias("n_votes"))

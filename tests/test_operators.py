@@ -9,8 +9,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import adapters, consensus, mixture, reports, rows, scoring
-from gristmill.sources import catalog, images, records
+from gristmill.operators import adapters, builders, consensus, mixture, reports, rows, scoring
+from gristmill.sources import catalog, config, images, records
 from gristmill.streaming import dedup
 
 
@@ -212,3 +212,24 @@ def test_stream_dedup_retries_skipped_and_drops_written(spark, tmp_path):
     feed("b", [("x", True), ("y", True)])
     assert run() == {"total": 2, "written": 1, "skipped": 0, "deduped": 1}
     assert sorted(r.record_key for r in spark.read.parquet(f"{tmp_path}/gold").collect()) == ["x", "x", "y"]
+
+
+def test_prepared_and_requests(spark):
+    schema = "id string, dataset string, image string, image_path string, image_ref string, image_sha256 string, question string, answer string, answer_type string, task_type string, chart_type string, metadata map<string,string>"
+    df = spark.createDataFrame([("s", "d", "i", "/p", "r", "h", "q", "a", "text", None, None, {"image_ref": "own", "k": "v"}), ("t", "d", "i", "/p", "r", "h", "q", "a", "numeric", "arithmetic", "bar", None)], schema)
+    prompt = builders.prompt_for("task_type", "answer_type", {"arithmetic": "compute"}, {"text": "write"}, "answer")
+    got = {r.sample_id: r for r in builders.prepared(df, prompt).collect()}
+    assert got["s"].metadata == {"k": "v", "dataset": "d", "sample_id": "s", "image_ref": "r", "image_sha256": "h"} and got["s"].system_prompt == "write"
+    assert got["t"].system_prompt == "compute" and got["t"].imgname == "/p" and len(got["t"].asDict()) == 10
+    asked = {r.sample_id: r for r in builders.requests(df, prompt).collect()}
+    assert asked["t"].metadata == {"dataset": "d", "answer_type": "numeric", "chart_type": "bar", "task_type": "arithmetic"}
+
+
+def test_command_and_config(tmp_path):
+    assert builders.command(*range(11))["resume"] == 10
+    with pytest.raises(ValueError):
+        builders.command(1)
+    (tmp_path / "c.toml").write_text("[inference]\nmax_new_tokens = 64\nadapter_path = ''\n")
+    got = config.load_settings(tmp_path / "c.toml")
+    assert got["inference"]["max_new_tokens"] == 64 and got["inference"]["adapter_path"] is None and got["model"]["path"] == "artifacts/pretrained/tiny"
+    assert config.config_hash({"b": {3, 1}, "a": (1,)}) == config.config_hash({"a": [1], "b": [1, 3]})
