@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +54,6 @@ def training_row(id_col: str, modulus: int) -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != 2, F.lit(True))
 
 
-def partitions(df: DataFrame, per_core: int = 2) -> int:
-    """Shuffle partitions to deal Python work over: the session's own number, or
-    a few for each core where that is more."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of the splitmix64 generator, over unsigned 64-bit arrays."""
     with np.errstate(over="ignore"):
@@ -71,7 +68,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def text_slices(batch, column: int, limit: int = 4 << 20):
+def text_slices(batch, column: int, limit: int = 2 << 20):
     """Cuts an Arrow batch into runs of rows with about ``limit`` bytes of text;
     yields the run and its whole texts as bytes (None for null)."""
     texts = batch.column(column).cast("binary")
@@ -85,6 +82,42 @@ def text_slices(batch, column: int, limit: int = 4 << 20):
         at = to
 
 
+def settle() -> None:
+    """Gives freed memory back to the system: a Python worker stays for later tasks,
+    and what it holds on to counts against its executor all that time."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def streamed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function over a task's Arrow batches that settles when the task is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            settle()
+
+    return run
+
+
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` holds; it gets batches of row numbers and
+    whole texts and yields the same batches in runs, each with a mask for its rows."""
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place).cast(pa.string())], ["row", "text"])
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep(texts)])))
+
+    return df.mapInArrow(streamed(run), df.schema)
+
+
 def input_bytes(df: DataFrame, text_col: str) -> int:
     """The size of what ``df`` reads by Catalyst's estimate; where it has none (it
     then assumes the largest number), the bytes of the texts, counted."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import text_slices, training_row
+from gristmill.llm.common import filter_rows, streamed, text_slices, training_row
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -233,7 +233,7 @@ def identify(df: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     """
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return picked.mapInArrow(lambda it: _predict_batches(it, model), schema)
+    return picked.mapInArrow(streamed(lambda it: _predict_batches(it, model)), schema)
 
 
 def train(
@@ -252,14 +252,6 @@ def langid_query(documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose language is told with a posterior of ``least`` or more.
-
-    The verdict is a column function over the text, so no row has to be looked up."""
+    """The rows of ``df`` whose language is told with a posterior of ``least`` or more."""
     model = train(df)
-
-    @F.pandas_udf(T.DoubleType())
-    def posterior(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
-        return pd.Series(np.concatenate([x.column(2).to_numpy() for x in _predict_batches([batch], model)] or [np.empty(0)]))
-
-    return df.filter(posterior(F.col("text").cast("string")) >= least)
+    return filter_rows(df, "text", lambda batch: (x.column(2).to_numpy() >= least for x in _predict_batches([batch], model)))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import input_bytes, materialize, mix64, partitions, text_slices, training_row, uniform
+from gristmill.llm.common import input_bytes, materialize, mix64, streamed, text_slices, training_row, uniform
 
 #: The end token: the hash of a string that can't be a word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -258,7 +258,7 @@ def fit(counts: DataFrame, process: Process, samples: int = 2) -> tuple[Process,
     for _ in range(process.burn_in + samples + 1):
         totals = Totals([np.zeros(n, np.int64) for n in (CONTEXTS, 256, 1)], [np.zeros(n, np.int64) for n in (CONTEXTS, 256, 1)], 0)
         frozen = Process(process.discount, process.strength, process.unseen, list(process.history), process.burn_in)
-        for kind, place, n in counts.mapInArrow(lambda it, p=frozen: _total_batches(it, p), "kind long, place long, n long").groupBy("kind", "place").agg(F.sum("n")).collect():
+        for kind, place, n in counts.mapInArrow(streamed(lambda it, p=frozen: _total_batches(it, p)), "kind long, place long, n long").groupBy("kind", "place").agg(F.sum("n")).collect():
             if kind < 6:
                 (totals.customers if kind < 3 else totals.tables)[kind % 3][place] = n
             elif kind == 6:
@@ -370,7 +370,7 @@ def score_texts(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
     shards = max(12, input_bytes(df, text_col) // SHARD_BYTES)
     texts = rows.filter(~F.col("held")).select("text")
-    counts = texts.mapInArrow(lambda it: _count_batches(it, shards), _COUNTS).groupBy("shard").applyInPandas(_merge_counts, _COUNTS)
+    counts = texts.mapInArrow(streamed(lambda it: _count_batches(it, shards)), _COUNTS).groupBy("shard").applyInPandas(_merge_counts, _COUNTS)
     counts = materialize(counts, "lm-counts")
     process, sizes = fit(counts, process, samples)
     usual = max(1, sum(sizes.values()) // shards)
@@ -380,7 +380,7 @@ def score_texts(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     identity = rows.schema["id"].dataType
     packed = T._parse_datatype_string("shard long, copy long, run long, words binary, contexts binary, docs binary")
     packed.add("ids", T.ArrayType(identity)).add("held", T.ArrayType(T.BooleanType()))
-    tokens = rows.mapInArrow(lambda it: _packed_batches(it, shards, copies), packed)
+    tokens = rows.mapInArrow(streamed(lambda it: _packed_batches(it, shards, copies)), packed)
     parts = T._parse_datatype_string("run long, docs binary, known binary, base binary, score binary")
     parts.add("ids", T.ArrayType(identity)).add("held", T.ArrayType(T.BooleanType())).add("sizes", T.BinaryType())
     scored = model.groupBy("shard", "copy").cogroup(tokens.groupBy("shard", "copy")).applyInPandas(lambda a, b: _score_shard(a, b, process), parts)

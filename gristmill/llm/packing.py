@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialize, text_slices
+from gristmill.llm.common import materialize, streamed, text_slices
 from gristmill.llm.wordbpe import load
 
 CAPACITY = 2048
@@ -46,7 +46,7 @@ _PIECES = "piece int, start long, length long, ids_crc32 long"
 def _piece_batches(batches, path: str, capacity: int, with_ids: bool):
     part_id = TaskContext.get().partitionId()
     for batch in batches:
-        for part, texts in text_slices(batch, 1, 8 << 20):
+        for part, texts in text_slices(batch, 1, 4 << 20):
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, all_ids in enumerate(load(path).encode_many(texts, end=END)):
                 for at in range(0, len(all_ids), capacity):
@@ -73,7 +73,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     schema = T.StructType([picked.schema["id"]])
     for x in T._parse_datatype_string(_PIECES + ", part long" + (", ids array<long>" if with_ids else "")):
         schema.add(x)
-    return picked.mapInArrow(lambda it: _piece_batches(it, path, capacity, with_ids), schema)
+    return picked.mapInArrow(streamed(lambda it: _piece_batches(it, path, capacity, with_ids)), schema)
 
 
 def price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
@@ -240,7 +240,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     ranked = made.withColumn("local", local).join(before.drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local") - 1)
     columns = [c for c in made.columns if c != "part"]
     schema = T.StructType([made.schema[c] for c in columns]).add("sequence_id", T.LongType()).add("offset", T.LongType())
-    placed = ranked.select(*columns, "rank").mapInArrow(lambda it: _place_batches(it, slots), schema)
+    placed = ranked.select(*columns, "rank").mapInArrow(streamed(lambda it: _place_batches(it, slots)), schema)
     return placed.withColumnRenamed("id", id_col)
 
 

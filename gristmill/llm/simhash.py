@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import materialize, streamed
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,7 +77,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     picked = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("content"), text.alias("text"))
     schema = T.StructType([picked.schema["id"], picked.schema["content"], T.StructField("fp", T.LongType())])
-    return picked.mapInArrow(lambda it: _fingerprint_batches(it, size), schema)
+    return picked.mapInArrow(streamed(lambda it: _fingerprint_batches(it, size)), schema)
 
 
 def trie_links(fps: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def links(distinct: DataFrame, budget: int = 4, chunk: int = 2048) -> DataFrame:
     found = (
         tasks.repartition("task")
         .sortWithinPartitions("task", "fp")
-        .mapInArrow(lambda it: _link_batches(it, budget), "a long, b long")
+        .mapInArrow(streamed(lambda it: _link_batches(it, budget)), "a long, b long")
     )
     return found.distinct()
 

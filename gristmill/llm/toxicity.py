@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialize, text_slices, training_row
+from gristmill.llm.common import filter_rows, materialize, streamed, text_slices, training_row
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of the stems that a token's prior goes through, shortest first.
@@ -176,7 +176,7 @@ def score_texts(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_c
     """
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("passages", T._parse_datatype_string(_PASSAGES_SQL))])
-    return picked.mapInArrow(lambda it: _score_batches(it, model, raw), schema)
+    return picked.mapInArrow(streamed(lambda it: _score_batches(it, model, raw)), schema)
 
 
 def _count_batches(batches):
@@ -198,7 +198,7 @@ def _count_batches(batches):
                 tally.update((f, half, y) for f in own)
                 tally["", half, y] += 1
                 tally[" ", half, y] += len(own)
-            if len(tally) > 500_000:
+            if len(tally) > 200_000:
                 yield flush()
     yield flush()
 
@@ -225,7 +225,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, least:
     rows = labelled_sample(documents, labels, sample)
     half = lambda c: F.sum(F.when(F.col("half") == 0, F.col(c)).otherwise(0))
     words = (
-        rows.mapInArrow(_count_batches, "token string, half long, toxic long, clean long")
+        rows.mapInArrow(streamed(_count_batches), "token string, half long, toxic long, clean long")
         .groupBy("token")
         .agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"), half("toxic").alias("a0"), half("clean").alias("b0"))
     )
@@ -280,12 +280,6 @@ def toxicity_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(df: DataFrame, documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` whose score is below ``threshold``; the model comes from
-    ``documents``.  The verdict is a column function over the text."""
+    ``documents``."""
     model = train(documents, labels)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
-        return pd.Series(np.concatenate([x.column(1).to_numpy() for x in _score_batches([batch], model)] or [np.empty(0)]))
-
-    return df.filter(score(F.col("text").cast("string")) < threshold)
+    return filter_rows(df, "text", lambda batch: (x.column(1).to_numpy() < threshold for x in _score_batches([batch], model)))
