@@ -21,6 +21,8 @@ from gristmill.llm.common import WORD
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Places at which the rows of one source are joined with its plan.
+SALTS = 64
 
 
 def word_count(text: str) -> Column:
@@ -97,10 +99,15 @@ def mix_sources(
         .agg(F.min(F.struct("__slice", "__before")).alias("__cut"))
     )
     plan = targets.withColumnRenamed(source_col, "__source").join(cut, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    rows = sized.withColumn("__slice", slice_).join(plan, F.col(source_col).eqNullSafe(F.col("__source")))
+    # The plan is a row for each source; every source is met in SALTS places, so one
+    # with very many rows doesn't come to a single task.
+    plan = plan.withColumn("__place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = sized.withColumn("__slice", slice_)
+    met = F.col(source_col).eqNullSafe(F.col("__source")) & (F.pmod("__slice", F.lit(SALTS)) == F.col("__place"))
+    rows = rows.join(plan, met).drop("__place")
     at = F.col("__cut")["__slice"]
     inside = F.col("__slice").eqNullSafe(at)
-    # Rows outside the boundary slices are decided on sight and spread by their own slice.
+    # Rows outside the boundary slices are decided on sight.
     order = Window.partitionBy("__source", "__slice").orderBy("__u", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.filter(inside).withColumn("__after", F.sum("size").over(order) + F.col("__cut")["__before"])
     middle = F.col("__after") - F.col("size") / 2.0
