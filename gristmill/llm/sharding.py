@@ -44,12 +44,23 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
             rest.groupBy(F.shiftrightunsigned("bits", 64 - high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")), "shard-cells"
         )
         # The bucket of the round before is known to be too large: its own prefix isn't a candidate.
-        levels = F.explode(F.sequence(F.lit(depth + (depth > 0)), F.lit(high))).alias("depth")
-        under = cells.select("cell", "bytes", "rows", levels).withColumn("prefix", F.call_function("shiftrightunsigned", F.col("cell"), F.lit(high) - F.col("depth")))
+        first = depth + (depth > 0)
+        prefix = F.call_function("shiftrightunsigned", F.col("cell"), F.lit(high) - F.col("depth"))
+        under = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(first), F.lit(high))).alias("depth")).withColumn("prefix", prefix)
         sums = under.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
         fits = (F.col("bytes") <= limit) | (F.col("rows") == 1) | (F.col("depth") == 64)
-        best = under.select("cell", "depth", "prefix").join(sums.filter(fits), ["depth", "prefix"])
-        found = best.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "bytes", "rows")).alias("b")).select("b.*", F.lit(high).alias("cell_depth"), "cell")
+        large = sums.filter(~fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
+        small = sums.filter(fits).withColumn("up", F.shiftrightunsigned("prefix", 1))
+        # A bucket is a prefix that fits and whose parent doesn't; a parent meets two rows at most.
+        leaves = small.filter(F.col("depth") == first).unionByName(small.filter(F.col("depth") > first).join(large, ["depth", "up"], "left_semi")).drop("up")
+        leaves = materialize(leaves, "shard-leaves")
+        reach = leaves.agg(F.min("depth").alias("low"), F.max("depth").alias("high")).first()
+        if reach.low is None:
+            found = leaves.withColumns({"cell_depth": F.lit(high), "cell": F.lit(0).cast("long")})
+        else:
+            levels = F.explode(F.sequence(F.lit(reach.low), F.lit(reach.high))).alias("depth")
+            found = cells.select("cell", levels).withColumn("prefix", prefix).join(leaves, ["depth", "prefix"])
+            found = found.select("depth", "prefix", "bytes", "rows", F.lit(high).alias("cell_depth"), "cell")
         found = materialize(found, "shard-buckets")
         parts.append(found)
         left = cells.join(found.select("cell"), "cell", "left_anti").select("cell")
