@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of an application once, unless they
+    find it by themselves in the working folder or on PYTHONPATH."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    known = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    if app in _shipped or root in known:
+        return
+    folder = tempfile.mkdtemp(prefix="gristmill-code-")  # the driver serves the file from there
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/gristmill", "zip", root, Path(__file__).parents[1].name))
+    _shipped.add(app)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -40,12 +58,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     costs the tasks it ran and nothing that was already written.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/gristmill/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,6 +102,16 @@ def text_slices(batch, column: int, limit: int = 2 << 20):
         at = to
 
 
+def hashed_share(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """Rows with ``h``, a hash of ``key``: all of them, or about twice ``size`` where
+    there are more, so that a sort for the first ``size`` moves few rows."""
+    hashed = rows.withColumn("h", F.xxhash64(key, F.lit(seed)))
+    n = rows.count()
+    if n <= 2 * size:
+        return hashed
+    return hashed.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * (2.0 * size + 1000) / n))
+
+
 def settle() -> None:
     """Gives freed memory back to the system: a Python worker stays for later tasks,
     and what it holds on to counts against its executor all that time."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import filter_rows, materialize, streamed, text_slices, training_row
+from gristmill.llm.common import filter_rows, hashed_share, materialize, streamed, text_slices, training_row
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of the stems that a token's prior goes through, shortest first.
@@ -209,8 +209,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int, seed:
     says so; labels that are null don't count."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(training_row("doc_id", 4))
     marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    picked = marks.withColumn("h", h).orderBy("h").limit(sample).select(F.col("doc_id").alias("id"), "toxic", (F.pmod("h", F.lit(2))).cast("long").alias("half"))
+    picked = hashed_share(marks, "doc_id", sample, seed).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(sample).select(F.col("doc_id").alias("id"), "toxic", (F.pmod("h", F.lit(2))).cast("long").alias("half"))
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     # At most ``sample`` rows of three numbers: a bound that holds at every input size.
     return texts.join(F.broadcast(picked), "id").select("id", "text", "half", F.col("toxic").cast("long").alias("toxic"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import hashed_share
+
 #: Vectors of a block, and queries that are solved against it at once.
 BLOCK = 4096
 RUN = 1024
@@ -49,8 +51,9 @@ def pair_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bounded_sample(rows: DataFrame, size: int, seed: int) -> np.ndarray:
     """At most ``size`` vectors, by a hash of the id: the same ones each time."""
-    picked = rows.withColumn("h", F.xxhash64("vec_id", F.lit(seed))).orderBy("h", "vec_id").limit(size)
-    return matrix([r.v for r in picked.select("v").collect()])
+    picked = hashed_share(rows, "vec_id", size, seed).orderBy(F.pmod("h", F.lit(1 << 30)), "h", "vec_id").limit(size).select("v").collect()
+    # Rows of one id stand or fall together; where none is in the share, any will do.
+    return matrix([r.v for r in picked or rows.select("v").limit(size).collect()])
 
 
 def blocked(rows: DataFrame, sizes: dict, cell: str = "cell") -> DataFrame:
