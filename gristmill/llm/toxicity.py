@@ -99,7 +99,7 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-min(50.0, max(-50.0, self.intercept + self.slope * evidence))))
 
 
-def build(counts: dict[str, tuple[float, float]], texts: tuple[float, float], clean_tokens: float, strength: float = 10.0, z: float = 3.0, least_score: float = 0.5) -> ToxicModel:
+def build(counts: dict[str, tuple[float, float]], texts: tuple[float, float], clean_tokens: float, strength: float = 10.0, z: float = 4.0, least_score: float = 0.5) -> ToxicModel:
     """Log-odds of features from (toxic, clean) document counts.
 
     ``texts`` are the numbers of toxic and clean texts and ``clean_tokens`` the
