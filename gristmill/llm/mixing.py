@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import WORD
+from gristmill.llm.common import WORD, materialize
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -80,13 +80,23 @@ def mix_sources(
     the order of size.  The document at the boundary is taken if that brings the
     source nearer to its target.  An empty table gives an empty result.
     """
+    sized = df.withColumns({"size": word_count(text_col), "__u": draw(id_col, seed)})
+    light = materialize(sized.select(source_col, "size", "__u"), "mix-sizes")
+    return _decide(sized, light, source_col, weights, share, cap, buckets)
+
+
+def draw(id_col: str, seed: int) -> Column:
+    """A number between 0 and 1 from 52 bits of a hash of the id."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13)
-    u = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)
-    sized = df.withColumn("size", word_count(text_col)).withColumn("__u", u)
-    light = sized.select(source_col, "size", "__u")
+    return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)
+
+
+def _decide(sized: DataFrame, light: DataFrame, source_col: str, weights, share: float, cap: float, buckets: int) -> DataFrame:
+    """Adds what the mix takes to rows with ``size`` and ``__u``; ``light`` has the
+    source and these two columns of the same rows."""
     targets = source_targets(light, source_col, weights, share, cap)
     targets = targets.withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0))
-    targets = targets.withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size"))
+    targets = materialize(targets.withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size")), "mix-targets")
     slice_ = F.floor(F.col("__u") * buckets)
     sums = light.groupBy(source_col, slice_.alias("__slice")).agg(F.sum("size").alias("__words"))
     running = F.sum("__words").over(Window.partitionBy(source_col).orderBy("__slice")) - F.col("__words")
@@ -124,8 +134,10 @@ def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
-def mix_query(df: DataFrame) -> DataFrame:
-    mixed = mix_sources(df.select("doc_id", "text", "source"))
+def mix_query(df: DataFrame, seed: int = 13, buckets: int = 4096) -> DataFrame:
+    """What the mix takes of each document; the texts are read once, for their sizes."""
+    sized = materialize(df.select("doc_id", "source", word_count("text").alias("size"), draw("doc_id", seed).alias("__u")), "mix-sizes")
+    mixed = _decide(sized, sized.select("source", "size", "__u"), "source", WEIGHTS, 1.5, 2.0, buckets)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
