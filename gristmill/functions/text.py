@@ -153,24 +153,33 @@ def scorer_mode(answer_type: Column | str, task_type: Column | str) -> Column:
     return F.when(_c(answer_type).isin(*FIXED_TYPES), "fixed_vocabulary").when(_c(task_type) == "arithmetic", "computed_oov").otherwise("extractive_or_count")
 
 
-def _decimal_bare(text: Column | str) -> Column:
+def decimal_bare(text: Column | str) -> Column:
+    """The text of a number without separators, a percent sign and a last full stop."""
     return strip(rstrip_chars(rstrip_chars(F.replace(strip(text), F.lit(","), F.lit("")), "."), "%"))
 
 
+def bare_decimal(bare: Column) -> Column:
+    return F.regexp_extract(bare, DECIMAL, 0).try_cast("decimal(38,12)")
+
+
 def parse_decimal(text: Column | str) -> Column:
     """``decimal(38,12)``, or null where the text is no number or doesn't fit.
 
     Texts with an exponent go through the same cast, which reads exponents."""
-    return F.regexp_extract(_decimal_bare(text), DECIMAL, 0).try_cast("decimal(38,12)")
+    return bare_decimal(decimal_bare(text))
+
+
+def plain_decimal(bare: Column, value: Column) -> Column:
+    """A parsed number in plain notation without trailing zeros, with the sign that its
+    bare text has even for zero.  The twelve places of the type end every text."""
+    digits = F.regexp_replace(F.regexp_replace(F.abs(value).cast("decimal(38,12)").cast("string"), r"(?i)^0e-?[0-9]+$", "0."), r"\.?0*$", "")
+    return F.concat(F.when(bare.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.when(digits == "", "0").otherwise(digits))
 
 
 def decimal_text(text: Column | str) -> Column:
-    """The number in plain notation without trailing zeros, with the sign the text
-    has even for zero; null where the text is no number."""
-    value = parse_decimal(text)
-    plain = rstrip_chars(F.regexp_replace(F.abs(value).cast("string"), r"(?i)^0e-?[0-9]+$", "0.0"), "0")
-    plain = rstrip_chars(F.when(plain.contains("."), plain).otherwise(F.abs(value).cast("string")), ".")
-    return F.when(_decimal_bare(text).startswith("-"), F.concat(F.lit("-"), plain)).otherwise(plain)
+    """The number in plain notation; null where the text is no number."""
+    bare = decimal_bare(text)
+    return plain_decimal(bare, bare_decimal(bare))
 
 
 def normalize_decimal(text: Column | str) -> Column:

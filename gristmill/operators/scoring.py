@@ -20,21 +20,29 @@ def score_decimal(df: DataFrame, task_type: Column | None = None) -> DataFrame:
     """Adds what :func:`score_typed` does, over exact decimals, and ``answer_mode``,
     ``gold_parse_ok``, ``prediction_parse_ok`` (null for types that aren't numeric),
     ``absolute_error`` and ``relative_error`` (0 if equal, null if gold is 0)."""
-    out = df.withColumns({"expected": X.normalize_decimal_by_type("answer_type", "gold"), "actual": X.normalize_decimal_by_type("answer_type", "prediction")})
     numeric = F.col("answer_type") == "numeric"
-    g, p = F.when(numeric, X.parse_decimal("gold")), F.when(numeric, X.parse_decimal("prediction"))
+    sides = (("gold", "g", "expected"), ("prediction", "p", "actual"))
+    # Each text is stripped and parsed once; what follows names the columns.
+    out = df.withColumns({f"__{c}": F.when(numeric, X.decimal_bare(side)) for side, c, _ in sides})
+    out = out.withColumns({f"__{c}_value": X.bare_decimal(F.col(f"__{c}")) for _, c, _ in sides})
+    number = lambda c: F.when(F.col(f"__{c}_value").isNotNull(), X.plain_decimal(F.col(f"__{c}"), F.col(f"__{c}_value")))
+    other = lambda side: F.when(F.col("answer_type") == "yes_no", X.normalize_yes_no(side)).otherwise(X.normalize_text(side))
+    out = out.withColumns({name: F.coalesce(number(c), other(side)) for side, c, name in sides})
+    g, p = F.col("__g_value"), F.col("__p_value")
     error = F.abs(p.cast("decimal(37,12)") - g.cast("decimal(37,12)"))
-    relative = F.when(error == 0, F.lit(0.0)).when(g != 0, error.cast("double") / F.abs(g).cast("double"))
-    return out.withColumns(
+    out = out.withColumn("__error", error)
+    relative = F.when(F.col("__error") == 0, F.lit(0.0)).when(g != 0, F.col("__error").cast("double") / F.abs(g).cast("double"))
+    out = out.withColumns(
         {
             "correct": F.col("expected") == F.col("actual"),
             "answer_mode": X.scorer_mode("answer_type", F.lit(None).cast("string") if task_type is None else task_type),
             "gold_parse_ok": F.when(numeric, g.isNotNull()),
             "prediction_parse_ok": F.when(numeric, p.isNotNull()),
-            "absolute_error": error.cast("double"),
-            "relative_error": F.when(error.isNotNull(), relative),
+            "absolute_error": F.col("__error").cast("double"),
+            "relative_error": F.when(F.col("__error").isNotNull(), relative),
         }
-    ).withColumn("score", F.col("correct").cast("double"))
+    )
+    return out.withColumn("score", F.col("correct").cast("double")).drop("__g", "__p", "__g_value", "__p_value", "__error")
 
 
 def parse_structures(df: DataFrame) -> DataFrame:
