@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str`` methods see it.
 WS = r"(?U)[\s\x1c-\x1f]"
+#: The same characters one by one, for trimming without a pattern.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Text that is a float, once white space round it is gone.
 FLOAT = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
 #: Text that is a decimal number.
@@ -57,7 +59,7 @@ def starts_any(text: Column, terms) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_c(text), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_c(text), F.lit(WS_CHARS))
 
 
 def collapse(text: Column | str) -> Column:
@@ -66,13 +68,13 @@ def collapse(text: Column | str) -> Column:
 
 
 def rstrip_chars(text: Column, chars: str) -> Column:
-    return F.regexp_replace(text, f"[{chars}]+$", "")
+    return F.rtrim(text, F.lit(chars))
 
 
 def normalize_text(text: Column | str) -> Column:
     """Lower case, no white space or ``.!?`` at the ends, single spaces within."""
     low = F.lower(strip(text))
-    return collapse(F.regexp_replace(low, r"^[ \t\r\n.!?]+|[ \t\r\n.!?]+$", ""))
+    return collapse(F.btrim(low, F.lit(" \t\r\n.!?")))
 
 
 def normalize_yes_no(text: Column | str) -> Column:
