@@ -497,9 +497,9 @@ _SPLIT = f"""SELECT doc_id, source, CASE WHEN rn <= floor(least(n, 40) * (1.0::D
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256((13 + {_INDEX_OF}) || ':' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) r WHERE rn <= least(n, 40)"""
 
 
-def _mix(spark, d):
+def _mix(spark, d, cap=40):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return mixture.split(docs, key="doc_id", dataset="source", seed=13, val_split=0.05, cap=40, datasets=_DATASETS)
+    return mixture.split(docs, key="doc_id", dataset="source", seed=13, val_split=0.05, cap=cap, datasets=_DATASETS)
 
 
 @query("mixture_split", _SPLIT)
@@ -540,6 +540,40 @@ def row_mix(spark, d):
     return reports.row_mix(_mix(spark, d), "split", "source")
 
 
+# The same four without a cap, and a counterexample for every document.
+
+_SPLIT_ALL = f"""SELECT doc_id, source, CASE WHEN rn <= floor(n * (1.0::DOUBLE - 0.05::DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256((13 + {_INDEX_OF}) || ':' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) r"""
+
+
+@query("mixture_split_all", _SPLIT_ALL)
+def mixture_split_all(spark, d):
+    return _mix(spark, d, cap=None)
+
+
+@query(
+    "mixture_with_contrastive_all",
+    f"""SELECT doc_id, source, split, false AS contrastive FROM ({_SPLIT_ALL}) s UNION ALL SELECT doc_id, source, split, true FROM ({_SPLIT_ALL}) s""",
+)
+def mixture_with_contrastive_all(spark, d):
+    mix = _mix(spark, d, cap=None).withColumn("contrastive", F.lit(False))
+    wrong = table(spark, d, "documents").select("doc_id", "source", F.lit(True).alias("contrastive"))
+    return mixture.attach_contrastive(mix, wrong, key="doc_id").select("doc_id", "source", "split", "contrastive")
+
+
+@query(
+    "mixture_order_all",
+    f"SELECT doc_id, split, sha256(CASE split WHEN 'val' THEN '10013:' ELSE '13:' END || doc_id) AS shuffle FROM ({_SPLIT_ALL}) s",
+)
+def mixture_order_all(spark, d):
+    return mixture.final_order(_mix(spark, d, cap=None), "doc_id", 13).select("doc_id", "split", "shuffle")
+
+
+@query("row_mix_all", f"SELECT split, source, count(*) AS n FROM ({_SPLIT_ALL}) s GROUP BY 1, 2")
+def row_mix_all(spark, d):
+    return reports.row_mix(_mix(spark, d, cap=None), "split", "source")
+
+
 # --- records, failures, images
 
 
