@@ -474,9 +474,19 @@ def perturb_fractions(spark, d):
 )
 def contrastive_record(spark, d):
     value = X.float_of("gold")
-    kept = _perturbed(spark, d).filter(((F.col("answer_type") != "numeric") | (value == F.floor(value))) & F.col("p").isNotNull())
+    return _contrastive(_perturbed(spark, d).filter((F.col("answer_type") != "numeric") | (value == F.floor(value))))
+
+
+@query("contrastive_fractions")
+def contrastive_fractions(spark, d):
+    """Contrastive records of the numbers that aren't whole, as in ``perturb_fractions``."""
+    value = X.float_of("gold")
+    return _contrastive(_perturbed(spark, d).filter((F.col("answer_type") == "numeric") & (value != F.floor(value))))
+
+
+def _contrastive(perturbed):
     gold = F.concat(F.lit("<answer>"), "gold", F.lit("</answer>"))
-    records_ = kept.select(
+    records_ = perturbed.filter(F.col("p").isNotNull()).select(
         "sample_id",
         F.col("question").alias("input"),
         gold.alias("output"),

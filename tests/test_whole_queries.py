@@ -1,6 +1,9 @@
 """Queries over whole tables, beside those whose SQL states a cut."""
 
+from decimal import ROUND_HALF_UP, Context
+
 import __spark_entry__ as entry
+from gristmill.plans import views
 
 
 def test_mixtures_without_a_cap(spark, tmp_path):
@@ -14,3 +17,23 @@ def test_mixtures_without_a_cap(spark, tmp_path):
     assert len(order) == 1000 and order == sorted(order)
     both = q["mixture_with_contrastive_all"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.contrastive, r.split) for r in both) == sorted((i, c, s) for i, s in split.items() for c in (False, True))
+
+
+def four_digits(x):
+    """As stated in ``perturb.four_digits``: ties of the shortest decimal text go up."""
+    return f"{float(Context(prec=4, rounding=ROUND_HALF_UP).create_decimal(repr(x))):.4g}"
+
+
+def test_every_perturbed_answer_has_a_contrastive_record(spark, sf):
+    q = entry.queries()
+    got = [r for n in ("contrastive_record", "contrastive_fractions") for r in q[n](spark, sf).collect()]
+    numeric = {r.sample_id: r.gold for r in views.qa(spark, sf).filter("answer_type = 'numeric'").collect()}
+    expect = {}
+    for i, gold in numeric.items():
+        v = float(gold)
+        moved = v + max(abs(v) * 0.05, 1.0 if v.is_integer() else 0.1)
+        told = f"<verdict>FAIL</verdict>\n<correct_answer>{gold}</correct_answer>\n<correction>\n<answer>{gold}</answer>\n</correction>"
+        expect[i] = (told, f"<answer>{round(moved) if v.is_integer() else four_digits(moved)}</answer>")
+    found = {r.sample_id: (r.output, r.wrong) for r in got if r.sample_id in numeric}
+    assert len(got) == len({r.sample_id for r in got})
+    assert found == expect
