@@ -634,6 +634,13 @@ def media_type(spark, d):
     return table(spark, d, "pages").select("page_id", X.media_type(head).alias("media_type"), X.data_url(head).alias("url"))
 
 
+@query("media_type_all", "SELECT page_id, 'image/png' AS media_type, 'data:image/png;base64,' || to_base64(encode(html)) AS url FROM pages")
+def media_type_all(spark, d):
+    """The whole pages; ``media_type`` has their first 40 characters, as its SQL."""
+    html = F.col("html").cast("binary")
+    return table(spark, d, "pages").select("page_id", X.media_type(html).alias("media_type"), X.data_url(html).alias("url"))
+
+
 # --- record builders
 
 

@@ -1,5 +1,6 @@
 """Queries over whole tables, beside those whose SQL states a cut."""
 
+import base64
 from decimal import ROUND_HALF_UP, Context
 
 import __spark_entry__ as entry
@@ -37,3 +38,9 @@ def test_every_perturbed_answer_has_a_contrastive_record(spark, sf):
     found = {r.sample_id: (r.output, r.wrong) for r in got if r.sample_id in numeric}
     assert len(got) == len({r.sample_id for r in got})
     assert found == expect
+
+
+def test_data_urls_of_whole_pages(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r.url for r in entry.queries()["media_type_all"](spark, sf).collect()}
+    assert got == {i: "data:image/png;base64," + base64.b64encode(html.encode()).decode() for i, html in pages.items()}
