@@ -76,9 +76,9 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     return picked.mapInArrow(streamed(lambda it: _piece_batches(it, path, capacity, with_ids)), schema)
 
 
-def price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
-    """A multiset of ``sizes`` (indices) of greatest value that fits ``capacity``,
-    by dynamic programming over the capacity; a size is used ``most`` times at most."""
+def _table(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value for every room, by dynamic programming, and the last size
+    (an index) of a multiset that has it: -2 for that of a smaller room, -1 for room 0."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, np.int64)
     order = np.argsort(sizes)
@@ -90,13 +90,18 @@ def price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int
             gain = worth[:n] + best[room - ascending[:n]]
             at = int(gain.argmax())
             if gain[at] > best[room]:
-                best[room], pick[room] = gain[at], at
-    out, room, used = [], capacity, Counter()
+                best[room], pick[room] = gain[at], int(order[at])
+    return best, pick
+
+
+def _trace(pick: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int, out: list[int]) -> list[int]:
+    """Adds to ``out`` the sizes of the best multiset for ``room``, each ``most`` times at most."""
+    used = Counter(out)
     while room > 0 and pick[room] != -1:
-        if pick[room] == -2:
+        item = int(pick[room])
+        if item == -2:
             room -= 1
             continue
-        item = int(order[pick[room]])
         if used[item] < most[item]:
             used[item] += 1
             out.append(item)
@@ -104,24 +109,48 @@ def price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int
     return out
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 250, rate: float = 0.25) -> Counter:
-    """Configurations and how many sequences use each, by multiplicative weights."""
-    plan: Counter = Counter()
-    served = np.zeros(len(sizes))
-    # A length over a half needs a sequence of its own, which the bound by sizes alone misses.
-    worth = sizes / capacity + 0.5 * (2 * sizes > capacity)
-    weights = np.ones(len(sizes))
-    for _ in range(rounds):
-        chosen = tuple(sorted(price(worth * weights, sizes, demand, capacity)))
-        if not chosen:
-            break
-        items, times = np.unique(np.array(chosen), return_counts=True)
-        amount = max(1.0, float((demand[items] / times).min()) * rate)
-        plan[chosen] += amount
-        served[items] += amount * times
-        weights = np.exp(-2.0 * np.maximum(0, served / demand - served.sum() / demand.sum()))
-        weights[served >= demand] *= 0.05
-    return plan
+def price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
+    """A multiset of ``sizes`` (indices) of greatest value that fits ``capacity``,
+    by dynamic programming over the capacity; a size is used ``most`` times at most."""
+    return _trace(_table(values, sizes, capacity)[1], sizes, most, capacity, [])
+
+
+def covering(sizes: np.ndarray, demand: np.ndarray, worth: np.ndarray, capacity: int, rate: float = 0.25, step: int = 64, tolerance: float = 0.005) -> tuple[Counter, np.ndarray]:
+    """Whole numbers of sequences for configurations (tuples of indices), by
+    multiplicative weights, until all but ``tolerance`` of the tokens demanded are
+    served, and what is left of each length: the remainder of the rounding.
+
+    A length loses weight as its share served grows.  One table prices the best
+    configuration with each of the lengths served least (one in ``step`` of those
+    open), which is taken for up to ``rate`` of its rarest length's demand,
+    whatever room it leaves."""
+    chosen: Counter = Counter()
+    left = demand.copy()
+    while left @ sizes > tolerance * (demand @ sizes):
+        share = 1 - left / demand
+        open_ = np.flatnonzero(left)
+        own = sizes[open_]
+        weights = np.exp(-2.0 * (share[open_] - share[open_].min()))
+        _, pick = _table(worth[open_] * weights, own, capacity)
+        for i in np.lexsort((-own, share[open_]))[: -(-len(own) // step)]:
+            if not left[open_[i]]:
+                continue
+            config = _trace(pick, own, left[open_], capacity - int(own[i]), [int(i)])
+            room = capacity - int(own[config].sum())
+            used = Counter(config)
+            while (at := int(np.searchsorted(own, room, "right")) - 1) >= 0:
+                while at >= 0 and used[at] >= left[open_[at]]:
+                    at -= 1
+                if at < 0:
+                    break
+                used[at] += 1
+                config.append(at)
+                room -= int(own[at])
+            items, times = np.unique(open_[config], return_counts=True)
+            n = min(int((left[items] // times).min()), max(1, int(rate * (demand[items] / times).min())))
+            chosen[tuple(sorted(open_[config].tolist()))] += n
+            left[items] -= n * times
+    return chosen, left
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, bins: Counter) -> Counter:
@@ -167,22 +196,32 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, bins: Counter)
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, passes: int = 4) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (lengths) and how many sequences have each; every piece has
-    a slot and no slot is left over."""
+    a slot and no slot is left over.  Passes end within a thousandth of the least
+    number of sequences that sizes allow; the best of them counts."""
     bins: Counter = Counter({(capacity,): histogram.get(capacity, 0)}) if histogram.get(capacity) else Counter()
     rest = sorted((n, k) for n, k in histogram.items() if n < capacity and k > 0)
     if rest:
         sizes, demand = (np.array(x, np.int64) for x in zip(*rest, strict=True))
-        chosen: Counter = Counter()
-        left = demand.copy()
-        for config, amount in fractional(sizes, demand, capacity).most_common():
-            items, times = np.unique(np.array(config), return_counts=True)
-            n = int(min(np.floor(amount + 1e-9), (left[items] // times).min()))
-            if n > 0 and sum(sizes[list(config)]) >= 0.98 * capacity:
-                chosen[tuple(int(sizes[i]) for i in config)] += n
-                left[items] -= n * times
-        bins.update(best_fit(sizes, left, capacity, chosen))
+        # A length over a half needs a sequence of its own, which the bound by sizes alone misses.
+        worth = sizes / capacity + 0.5 * (2 * sizes > capacity)
+        least = max(sizes @ demand / capacity, demand[2 * sizes > capacity].sum())
+        best: Counter = Counter()
+        for _ in range(passes):
+            configs, left = covering(sizes, demand, worth, capacity)
+            packed = best_fit(sizes, left, capacity, Counter({tuple(int(sizes[i]) for i in config): n for config, n in configs.items()}))
+            if not best or packed.total() < best.total():
+                best = packed
+            if best.total() <= 1.001 * least + 1:
+                break
+            # Lengths that left room gain worth, so that the next pass pairs them first.
+            room = np.zeros(len(sizes))
+            for config, n in packed.items():
+                np.add.at(room, np.searchsorted(sizes, config), n * (1 - sum(config) / capacity))
+            room /= demand
+            worth = worth * np.exp(room - room.mean())
+        bins.update(best)
     return sorted((c, n) for c, n in bins.items() if n)
 
 

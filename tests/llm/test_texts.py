@@ -304,6 +304,20 @@ def test_plan_covers_the_histogram(seed):
     assert sum(n for _, n in found) <= 1.01 * sum(plain.values()) + 1
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_covering_serves_all_but_the_rounding(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.unique(rng.integers(1, 501, 200))
+    demand = rng.integers(1, 2000, len(sizes))
+    chosen, left = packing.covering(sizes, demand, sizes / 500, 500)
+    served = np.zeros(len(sizes), np.int64)
+    for config, n in chosen.items():
+        assert n >= 1 and sizes[list(config)].sum() <= 500
+        np.add.at(served, list(config), n)
+    assert (served + left == demand).all() and (left >= 0).all()
+    assert left @ sizes <= 0.005 * (demand @ sizes)
+
+
 def test_price_finds_the_best_knapsack():
     sizes, values = np.array([3, 4, 5]), np.array([4.0, 5.0, 7.0])
     chosen = packing.price(values, sizes, np.array([9, 9, 9]), 10)
