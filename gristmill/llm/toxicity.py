@@ -89,7 +89,7 @@ class ToxicModel:
         """``-log`` of the p-value of the strongest segments, in a text of ``length``
         tokens: the r best scores as a Poisson tail, the most telling r."""
         best = 0.0
-        for r, s in enumerate(sorted((x[2] for x in segments), reverse=True)[:16], 1):
+        for r, s in enumerate(sorted((x[2] for x in segments), reverse=True), 1):
             mean = self.rate * max(length, 1) * math.exp(-self.decay * s)
             # P(Poisson(mean) >= r) <= mean^r / r!
             best = max(best, r * -math.log(max(mean, 1e-300)) + math.lgamma(r + 1) - math.log(r))

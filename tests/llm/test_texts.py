@@ -219,6 +219,11 @@ def test_evidence_grows_with_score_and_falls_with_length():
     assert m.evidence([(0, 0, 6.0), (50, 50, 6.0)], 100) > m.evidence([(0, 0, 6.0)], 100)
 
 
+def test_evidence_counts_all_segments_of_a_long_text():
+    m = toxicity.ToxicModel(rate=0.02, decay=3.2)
+    assert m.evidence([(200 * i, 200 * i, 1.0) for i in range(100)], 20_000) > 50
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/check_h"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
