@@ -183,17 +183,27 @@ def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, prior:
 
 
 def sample_texts(df: DataFrame, text_col: str, lang_col: str, per_language: int, longest: int, seed: int = 5) -> dict[str, list[str]]:
-    """At most ``per_language`` whole texts of each language, of at most
-    ``longest`` characters, picked by a hash of the text."""
+    """At most ``per_language`` different texts of each language, of at most ``longest``
+    characters, picked by a hash of the text; a language that has only longer texts
+    gives their first ``longest`` characters.
+
+    The share is that of the different texts that can be picked, so a language
+    with any text is learned however often its texts are repeated."""
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumns({"h": F.xxhash64("text", F.lit(seed)), "long": F.length("text") > longest})
+    sizes: dict[str, tuple[bool, int]] = {}
+    for lang, long, n in rows.select("lang", "long", "h").distinct().groupBy("lang", "long").count().collect():
+        if lang not in sizes or not long:
+            sizes[lang] = (long, n)
     if not sizes:
         return {}
-    share = F.element_at(F.create_map(*(x for g, n in sizes.items() for x in (F.lit(g), F.lit(min(1.0, 2.0 * per_language / n))))), F.col("lang"))
-    h = F.xxhash64("text", F.lit(seed))
-    near = rows.filter((F.length("text") <= longest) & (F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)))
+    of = lambda f: F.element_at(F.create_map(*(x for g, v in sizes.items() for x in (F.lit(g), F.lit(f(*v))))), F.col("lang"))
+    share = of(lambda _, n: min(1.0, 2.0 * per_language / n))
+    near = rows.filter((F.col("long") == of(lambda long, _: long)) & (F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)))
+    # One text for each hash before anything reaches the driver.
+    near = near.withColumn("text", F.substring("text", 1, longest)).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text", "h")
     out: dict[str, list[tuple]] = {}
-    for lang, text, key in near.withColumn("h", h).toLocalIterator():
+    for lang, text, key in near.toLocalIterator():
         out.setdefault(lang, []).append((key, text))
     return {g: [x[1] for x in sorted(v)[:per_language]] for g, v in sorted(out.items())}
 

@@ -62,6 +62,16 @@ def test_langid_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_every_training_language_is_sampled(spark):
+    copies = spark.range(3000).selectExpr("concat('c', id % 20) AS lang", "concat('one text of ', id % 20) AS text")
+    long = spark.range(9).selectExpr("'long' AS lang", "concat(repeat('word ', 20), id) AS text")
+    many = spark.range(500).selectExpr("'many' AS lang", "concat('text ', id) AS text")
+    got = langid.sample_texts(copies.unionByName(long).unionByName(many), "text", "lang", 4, 50)
+    assert got.keys() == {"long", "many", *(f"c{i}" for i in range(20))}
+    assert all(got[f"c{i}"] == [f"one text of {i}"] for i in range(20))
+    assert len(got["many"]) == 4 and set(got["long"]) == {"word " * 10}
+
+
 def test_langid_odd_rows(odd, empty):
     model = langid.train(odd)
     rows = langid.identify(odd, model).collect()
