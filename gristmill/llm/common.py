@@ -51,19 +51,43 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, so a lost executor
-    costs the tasks it ran and nothing that was already written.
+    costs the tasks it ran and nothing that was already written.  Results are read
+    from these tables, so they stay until :func:`remove_tables`.
     """
     spark = df.sparkSession
-    ship(spark)
     path = f"{shared_dir(spark)}/gristmill/{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Removes all tables that this application has materialized; results that read
+    them must have been written before.  Returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as ``row`` (a struct) with the place each has in a file:
+    ``file`` and ``place``, which tell even equal rows apart and are the same on every
+    read.  What isn't a plain scan of files is materialized first."""
+    scan = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    rows = df if scan else materialize(df, "rows")
+    where = rows.metadataColumn("_metadata")
+    return rows.select(F.struct(*(rows[f"`{c}`"] for c in rows.columns)).alias("row"), where["file_path"].alias("file"), where["row_index"].alias("place"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -138,6 +162,7 @@ def streamed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows of ``df`` for which ``keep`` holds; it gets batches of row numbers and
     whole texts and yields the same batches in runs, each with a mask for its rows."""
+    ship(df.sparkSession)
     place = df.columns.index(text_col)
 
     def run(batches):

@@ -6,10 +6,11 @@ joined with themselves under a Hamming budget.  The join walks pairs of trie
 nodes together, adds up the bits in which the two branches differ and drops a
 pair as soon as the budget is spent.
 
-To spread the walk over tasks the 64 bits are cut into ``budget + 1`` blocks.
-Two fingerprints within the budget agree in one block at least, so each block
-value is one sub-trie of its own; sub-tries over ``chunk`` fingerprints are cut
-into chunks by hash and every pair of chunks is one task.  Nothing is dropped.
+To spread the walk over tasks the 64 bits are cut into ``budget + 1`` blocks, or
+into a few more if there are many fingerprints.  Two fingerprints within the budget
+agree in all blocks but ``budget``, so the bits of any such choice of blocks key
+sub-tries of their own; sub-tries over ``chunk`` fingerprints are cut into chunks by
+hash and every pair of chunks is one task.  Nothing is dropped.
 
 Only links that join two different runs are returned, which is all that the
 components need; components come from alternating large and small stars, whose
@@ -18,17 +19,19 @@ state is an edge table in the shared folder.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialize, streamed
+from gristmill.llm.common import materialize, placed, ship, streamed, text_slices
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -64,19 +67,19 @@ def fingerprint_many(texts: list[bytes | None], size: int = 4) -> np.ndarray:
 
 
 def _fingerprint_batches(batches, size: int):
+    """Rows end with their text, in whose place they get the fingerprint."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            fp = fingerprint_many(part.column(2).cast(pa.binary()).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["id", "content", "fp"])
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """``id``, ``content`` (a hash of id and text) and ``fp`` (the 64 bits as a
-    signed long) of every row."""
-    text = F.col(text_col).cast("string")
-    picked = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("content"), text.alias("text"))
-    schema = T.StructType([picked.schema["id"], picked.schema["content"], T.StructField("fp", T.LongType())])
+        names = [*batch.schema.names[:-1], "fp"]
+        for part, texts in text_slices(batch, batch.num_columns - 1):
+            fp = fingerprint_many(texts, size)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp.view(np.int64))], names)
+
+
+def fingerprints(df: DataFrame, text_col: str, kept: list, size: int = 4) -> DataFrame:
+    """The columns ``kept`` and ``fp`` (the 64 bits as a signed long) of every row."""
+    ship(df.sparkSession)
+    picked = df.select(*kept, F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("fp", T.LongType())])
     return picked.mapInArrow(streamed(lambda it: _fingerprint_batches(it, size)), schema)
 
 
@@ -162,12 +165,40 @@ def _link_batches(batches, budget: int, flush: int = 1 << 14):
         yield links(tasks, fps)
 
 
-def links(distinct: DataFrame, budget: int = 4, chunk: int = 2048) -> DataFrame:
+def cut_bits(budget: int, distinct: int, chunk: int) -> list[list[tuple[int, int]]]:
+    """The bits that key the sub-tries: lists of (first, number) runs of bits.
+
+    With the 64 bits in ``n`` blocks, two fingerprints within the budget agree in
+    ``n - budget`` blocks at least, so each choice of that many blocks is a key.
+    More blocks make longer keys, thus smaller sub-tries, but more keys: the ``n``
+    that sends the fewest copies of a fingerprint counts."""
+
+    def copies(n: int) -> float:
+        bits = 64 // n * (n - budget)
+        return math.comb(n, budget) * max(1.0, distinct / 2.0**bits / chunk)
+
+    n = min(range(budget + 1, min(64, budget + 5) + 1), key=copies)
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    return [[(edges[i], edges[i + 1] - edges[i]) for i in some] for some in itertools.combinations(range(n), n - budget)]
+
+
+def _key(runs: list[tuple[int, int]]) -> Column:
+    """The bits of ``fp`` in these runs, side by side."""
+    out, at = F.lit(0).cast("long"), 0
+    for first, width in runs:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1), at))
+        at += width
+    return out
+
+
+def links(distinct: DataFrame, budget: int = 4, chunk: int = 2048, estimate: int = 0) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``) that are
-    enough to tell which are connected by steps of ``budget`` bits or fewer."""
-    blocks = budget + 1
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    value = F.array(*(F.shiftrightunsigned("fp", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(blocks)))
+    enough to tell which are connected by steps of ``budget`` bits or fewer.
+
+    ``estimate`` is about how many there are; it decides how they are dealt and
+    not what is found."""
+    ship(distinct.sparkSession)
+    value = F.array(*map(_key, cut_bits(budget, estimate, chunk)))
     rows = distinct.select("fp", F.posexplode(value).alias("block", "value"))
     sizes = rows.groupBy("block", "value").count().filter("count > 1")
     rows = rows.join(sizes.hint("merge"), ["block", "value"]).withColumn("k", F.ceil(F.col("count") / chunk).cast("int"))
@@ -208,6 +239,15 @@ def components(edges: DataFrame) -> DataFrame:
         down = materialize(small.union(low).distinct(), "edges")
 
 
+def _classes(marked: DataFrame, budget: int, chunk: int) -> DataFrame:
+    """``fp`` and ``root`` (one fingerprint of its class) of every distinct ``fp`` of ``marked``."""
+    distinct = marked.select("fp").distinct()
+    estimate = marked.agg(F.approx_count_distinct("fp")).first()[0]
+    found = components(links(distinct, budget, chunk, estimate))
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return materialize(rooted, "classes")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4, chunk: int = 2048
 ) -> DataFrame:
@@ -215,8 +255,7 @@ def near_duplicates(
 
     Returns ``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (the
     smallest id reachable over fingerprints ``budget`` bits apart or fewer, its
-    own included), ``component_key`` (one fingerprint of the class) and ``content``
-    (a hash of id and text).
+    own included) and ``component_key`` (one fingerprint of the class).
 
     A null text, an empty one and one of white space have fingerprint zero and
     are linked like any other.  Rows are kept as they are: a repeated row is
@@ -224,27 +263,32 @@ def near_duplicates(
     id of its class that is not null (null if there is none).  An empty table
     gives an empty result.  Other columns of ``df`` are not looked at.
     """
-    marked = materialize(fingerprints(df, id_col, text_col, size), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(distinct.select("fp"), budget, chunk))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "classes")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root")
+    marked = materialize(fingerprints(df, text_col, [F.col(id_col).alias("id")], size), "fingerprints")
+    rooted = _classes(marked, budget, chunk)
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    smallest = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root")
     return marked.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.lower(F.lpad(F.hex("root"), 16, "0")).alias("component_key"),
-        "content",
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each class one row with the
-    smallest id stays (a class without any id keeps one of its rows)."""
-    classes = near_duplicates(df, id_col, text_col, **options)
-    least = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept = classes.filter(least).groupBy("component_key").agg(F.min("content").alias("__content")).select("__content")
-    keyed = df.withColumn("__content", F.xxhash64(id_col, F.col(text_col).cast("string")))
-    return keyed.join(kept.hint("merge"), "__content", "left_semi").dropDuplicates(["__content"]).drop("__content")
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4, chunk: int = 2048) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each class (see
+    :func:`near_duplicates`) one row with the smallest id stays, the first in file
+    order if that id is repeated; a class without any id keeps its first row.
+
+    Survivors are chosen on ids and places of rows alone.  Whole rows are dealt once,
+    by their place, and neither sorted nor compared, so it doesn't matter how often
+    a row is repeated.  Nulls, empty texts and an empty table are as there; columns of
+    any name are passed on.
+    """
+    rows = placed(df)
+    marked = rows.select(F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"), "file", "place")
+    marked = materialize(fingerprints(marked, "text", ["id", "file", "place"], size), "fingerprints")
+    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "file", "place")).alias("first"))
+    kept = _classes(marked, budget, chunk).join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.place")
+    return rows.join(kept.hint("shuffle_hash"), ["file", "place"], "left_semi").select("row.*")

@@ -59,13 +59,13 @@ def test_trie_links_give_the_components_of_all_pairs(seed):
     assert [find(i) for i in range(len(fps))] == brute_components(fps, 4)
 
 
-@pytest.mark.parametrize("chunk", [2048, 16])
-def test_links_over_blocks_and_chunks(spark, chunk):
+@pytest.mark.parametrize(("chunk", "estimate"), [(2048, 0), (16, 0), (2048, 10**8), (16, 10**12)])
+def test_links_over_blocks_and_chunks(spark, chunk, estimate):
     rng = random.Random(9)
     centres = [rng.getrandbits(64) for _ in range(5)]
     fps = sorted({near(rng, rng.choice(centres), 6) for _ in range(200)} | {near(rng, 0, 3) for _ in range(50)})
     signed = [fp - (1 << 64) if fp >> 63 else fp for fp in fps]
-    found = S.components(S.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, chunk)).collect()
+    found = S.components(S.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, chunk, estimate)).collect()
     roots = {r.node: r.root for r in found}
     expect = brute_components(signed_to_unsigned := [x & (2**64 - 1) for x in signed], 4)
     groups, own = {}, {}
@@ -99,6 +99,21 @@ def test_odd_rows(odd, empty):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 6), (False, 7), (False, 8), (True, 0)]
 
 
+def test_more_fingerprints_get_longer_keys():
+    for n, keys in ((10**6, 5), (10**8, 15), (10**10, 35)):
+        runs = S.cut_bits(4, n, 2048)
+        assert len(runs) == keys
+        assert n / 2.0 ** min(sum(w for _, w in x) for x in runs) <= 2 * 2048
+
+
+def test_very_often_repeated_row_and_long_texts(spark, odd):
+    many = spark.range(100_000).selectExpr("77L as doc_id", "'one and the same text again and again' as text", "'a' as file", "2 as place", "'r' as row", "3 as _metadata")
+    long = spark.range(3).selectExpr("id as doc_id", "concat(id, repeat(concat(' long', id, ' words'), 200000)) as text", "'b' as file", "1 as place", "'r' as row", "4 as _metadata")
+    kept = S.drop_near_duplicates(many.unionByName(long))
+    assert kept.columns == many.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 1, 2, 77]
+
+
 def test_query_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()

@@ -235,7 +235,7 @@ def test_evidence_counts_all_segments_of_a_long_text():
 
 
 def test_toxicity_held_out(spark):
-    d = "/root/testdata/check_h"
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     got = toxicity.toxicity_query(docs, labels).join(labels, "doc_id").filter("held_out")
