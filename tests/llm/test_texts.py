@@ -165,7 +165,7 @@ def test_mix_targets_and_fixed_size(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix_query(rows).collect())
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1, None: 100}, {"a": 1, "b": 50, "c": 3, "d": 8}, {"a": 0, "b": 4}, {"a": 7}])
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1, None: 100}, {"a": 1, "b": 50, "c": 3, "d": 8}, {"a": 0, "b": 4}, {"a": 7}, {"a": 5, "b": 5, "c": 5, "d": 5}])
 def test_targets_by_running_sums(spark, sizes):
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(df).collect()}
@@ -181,11 +181,28 @@ def test_mix_odd_rows(odd, empty):
     assert mixing.mix_query(empty).count() == 0 and mixing.take_mix(empty).count() == 0
 
 
-def test_inclusion_follows_the_target(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
-    got = mixing.mix_query(df).groupBy("source").agg(F.avg("copies").alias("c"), F.first("target").alias("t"), F.first("source_size").alias("s")).collect()
+def test_inclusion_follows_the_probabilities(spark):
+    """Sources alike but for their ids are repetitions of one experiment.  Order
+    sampling of a fixed size meets its probabilities as a source grows."""
+    words = {1: 2, 2: 10, 3: 40}
+    rows = [(1000 * s + i, "w " * words[i % 3 + 1], f"s{s:03}") for s in range(40) for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sized = df.select("source", mixing.word_count("text").alias("size")).withColumn("__k", F.length(F.bin("size")))
+    targets = mixing.source_targets(sized, "source", (1.0,), 0.8)
+    plan = {r["__k"]: r["__whole"] + r["__p"] for r in mixing.expected_copies(sized, targets).filter("__s = 's000'").collect()}
+    assert [plan[k] / plan[2] for k in (4, 6)] == pytest.approx([2.0, 4.0])  # square roots of 4 and 16
+    assert sum(plan[n.bit_length()] * n for n in words.values()) == pytest.approx(0.8 * sum(words.values()))
+    got = mixing.mix_sources(df, weights=(1.0,), share=0.8).groupBy("size").agg(F.avg("copies").alias("c"), F.max("copies").alias("most")).collect()
     for r in got:
-        assert r.c == pytest.approx(r.t / r.s, abs=0.01)
+        assert r.c == pytest.approx(plan[r["size"].bit_length()], abs=0.03) and r.most <= 2
+
+
+def test_mix_ranks_equal_rows_by_file(spark):
+    one = spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.lit("x").alias("size"), F.lit("y").alias("row"))
+    got = mixing.mix_sources(one.repartition(7), share=0.5)
+    assert got.columns == ["doc_id", "text", "source", "row", "size", "source_size", "target", "copies", "taken"]
+    assert abs(got.agg(F.sum("taken")).first()[0] - 4500) <= 1.5
+    assert mixing.take_mix(one, share=0.5).columns == one.columns
 
 
 # --- toxicity
