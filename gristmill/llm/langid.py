@@ -15,41 +15,40 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import filter_rows, streamed, text_slices, training_row
+from gristmill.llm.common import filter_rows, materialize, ship, streamed, text_slices, training_row
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Letters of a word that are segmented at once; longer words are cut into such runs.
-LONGEST = 32
+#: At most so many characters of all words are segmented at once; a word of more than
+#: LONG characters is segmented by itself.
+ROOM, LONG = 1 << 18, 256
 
 
-def public_pieces(path: str | None = None, longest: int = 6) -> list[str]:
+def public_pieces(path: str | None = None) -> list[str]:
     """Lower-case pieces made of letters from a SentencePiece model file."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(x for x in pieces if len(x) <= longest and (x.removeprefix(START).isalpha() or x == START))
+    return sorted(x for x in pieces if x.removeprefix(START).isalpha() or x == START)
 
 
-def _runs(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words with the start mark, cut into runs, and the word each run is of."""
-    if all(len(w) < LONGEST for w in words):
-        return [START + w for w in words], np.arange(len(words))
-    runs, of = [], []
-    for i, w in enumerate(words):
-        w = START + w
-        for at in range(0, len(w), LONGEST):
-            runs.append(w[at : at + LONGEST])
-            of.append(i)
-    return runs, np.array(of)
+def _shares(words: list[str]) -> list[slice]:
+    """Runs of words, each of at most ``ROOM`` characters or one longer word."""
+    ends = np.cumsum([len(w) + 1 for w in words])
+    out, at = [], 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROOM, "right")))
+        out.append(slice(at, to))
+        at = to
+    return out
 
 
 @dataclass
@@ -77,16 +76,19 @@ class PieceModel:
         table[(self.keys >> np.uint64(46)).astype(np.int64)] = True
         return table
 
-    def _matches(self, codes, starts, t: int, m: int, table):
-        """For words 0..m that reach position t: (length, word indices, piece ids)."""
+    def _matches(self, codes, starts, t: int, m: int, table, least=None):
+        """For words 0..m that reach position t: (length, word indices, piece ids).
+        ``least``, if given, is how many characters each has before its end."""
         h = np.zeros(m, np.uint64)
         power = np.uint64(1)
-        for size in range(1, min(t, int(self.sizes.max(initial=1))) + 1):
+        for size in range(1, int(self.sizes.max(initial=1)) + 1):
+            if least is None and size > t:
+                break
             with np.errstate(over="ignore"):
-                h = h + (codes[starts[:m] + (t - size)] + np.uint64(1)) * power
+                h = h + (codes[np.maximum(starts[:m] + (t - size), 0)] + np.uint64(1)) * power
                 power = power * _BASE
                 mixed = h * np.uint64(0xD6E8FEB86659FD93)
-            at = np.flatnonzero(table[(mixed >> np.uint64(46)).astype(np.int64)])
+            at = np.flatnonzero(table[(mixed >> np.uint64(46)).astype(np.int64)] & (True if least is None else least >= size))
             ids = np.searchsorted(self.keys, mixed[at])
             ids[ids == len(self.keys)] = 0
             hit = self.keys[ids] == mixed[at] if len(self.keys) else np.zeros(0, bool)
@@ -99,58 +101,89 @@ class PieceModel:
             if len(at):
                 yield size, at, ids
 
-    def forward(self, runs: list[str], counts: np.ndarray | None = None):
-        """Log probability of every run by language; with ``counts`` (run by
-        language) also the expected piece counts."""
-        lens = np.fromiter(map(len, runs), np.int64, len(runs))
+    def forward(self, words: list[str], counts: np.ndarray | None = None):
+        """Log probability of every word by language, over all segmentations; with
+        ``counts`` (word by language) also the expected piece counts.
+
+        Words go through all positions together.  Every few positions the sums of the
+        words that go on are divided by the last one, whose log is kept, so that no
+        word is too long; without counts only as many positions as the longest piece
+        has are held."""
+        words = [START + w for w in words]
+        lens = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-lens, kind="stable")
-        codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         starts = (np.cumsum(lens) - lens)[order]
         lens = lens[order]
         reach = len(lens) - np.searchsorted(lens[::-1], np.arange(1, int(lens.max(initial=0)) + 1))  # words of that length at least
-        table, width = self.filter(), len(self.languages)
-        alpha = [np.ones((len(runs), width))]
-        steps = []
+        table, width, span = self.filter(), len(self.languages), int(self.sizes.max(initial=1))
+        alpha, base = {0: np.ones((len(words), width))}, np.zeros((len(words), width))
+        steps, logs_at = [], [base.copy()]
+        out = np.zeros((len(words), width))
         for t, m in enumerate(reach.tolist(), 1):
             now = np.zeros((m, width))
             found = list(self._matches(codes, starts, t, m, table))
             for size, at, ids in found:
                 now[at] += self.probs[ids] * alpha[t - size][at]
-            alpha.append(now)
+            after = int(reach[t]) if t < len(reach) else 0
+            out[after:m] = base[after:m] + np.log(now[after:])
             if counts is not None:
                 steps.append(found)
-        out = np.zeros((len(runs), width))
-        for t, m in enumerate(reach.tolist(), 1):
-            after = reach[t] if t < len(reach) else 0
-            out[after:m] = np.log(alpha[t][after:m])
+                logs_at.append(base[:m] + np.log(now))
+            alpha[t] = now
+            alpha.pop(t - span, None)
+            if t % 8 == 0 and after:
+                base[:after] += np.log(now[:after])
+                alpha = {u: x[:after] / now[:after] for u, x in alpha.items()}
         logs = np.empty_like(out)
         logs[order] = out
         if counts is None:
             return logs
         expected = np.zeros_like(self.probs)
-        weight = counts[order] / np.exp(out)
-        beta = [np.zeros((len(a), width)) for a in alpha]
+        # The part of a word's probability, times its count, that goes through a position.
+        through = [np.zeros((len(x), width)) for x in logs_at]
+        weight = counts[order]
         for t in range(len(steps), 0, -1):
-            after = reach[t] if t < len(reach) else 0
-            beta[t][after : reach[t - 1]] += weight[after : reach[t - 1]]
+            after = int(reach[t]) if t < len(reach) else 0
+            through[t][after:] += weight[after : reach[t - 1]]
             for size, at, ids in steps[t - 1]:
-                arc = self.probs[ids] * beta[t][at]
-                beta[t - size][at] += arc
-                arc *= alpha[t - size][at]
+                arc = self.probs[ids] * np.exp(logs_at[t - size][at] - logs_at[t][at]) * through[t][at]
+                through[t - size][at] += arc
                 for g in range(width):
                     expected[:, g] += np.bincount(ids, arc[:, g], len(self.probs))
         return logs, expected
 
+    def alone(self, word: str) -> np.ndarray:
+        """As :meth:`forward` for one long word: pieces are looked up at all its positions
+        at once, and only the sums go from one position to the next."""
+        codes = np.frombuffer((START + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        total, span, table = len(codes), int(self.sizes.max(initial=1)), self.filter()
+        out, alpha = np.zeros(len(self.languages)), np.ones((span, len(self.languages)))
+        for first in range(0, total, ROOM):
+            ends = np.arange(first + 1, min(total, first + ROOM) + 1)
+            arcs = [(size, ends[i], ids) for at in (ends,) for size, i, ids in self._matches(codes, at, 0, len(at), table, least=at)]
+            sizes = np.concatenate([np.full(len(e), size) for size, e, _ in arcs])
+            places, ids = np.concatenate([e for _, e, _ in arcs]), np.concatenate([x for _, _, x in arcs])
+            order = np.argsort(places, kind="stable")
+            sizes, ids, cuts = sizes[order], ids[order], np.searchsorted(places[order], np.r_[ends, total + 1])
+            for t, a, b in zip(ends.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                now = (self.probs[ids[a:b]] * alpha[(t - sizes[a:b]) % span]).sum(0)
+                alpha[t % span] = now
+                if t % 8 == 0:
+                    out += np.log(now)
+                    alpha /= now
+        return out + np.log(alpha[total % span])
+
     def words(self, words: list[str]) -> np.ndarray:
         """Log probability of every word by language, over all segmentations."""
-        if not words:
-            return np.zeros((0, len(self.languages)))
-        runs, of = _runs(words)
-        logs = self.forward(runs)
-        if len(runs) == len(words):
-            return logs
         out = np.zeros((len(words), len(self.languages)))
-        np.add.at(out, of, logs)
+        long = np.fromiter((len(w) > LONG for w in words), bool, len(words))
+        short = np.flatnonzero(~long)
+        usual = [words[i] for i in short]
+        for x in _shares(usual):
+            out[short[x]] = self.forward(usual[x])
+        for i in np.flatnonzero(long):
+            out[i] = self.alone(words[i])
         return out
 
 
@@ -162,50 +195,54 @@ def _hash_piece(piece: str) -> int:
     return (h * 0xD6E8FEB86659FD93) & mask
 
 
-def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, prior: float = 0.1) -> PieceModel:
-    """Expectation-maximisation over the words of each language's texts."""
+def _training_words(texts: list[str], longest: int) -> list[str]:
+    return [w[at : at + longest] for x in texts for w in LETTERS.findall(x.lower()) for at in range(0, len(w), longest)]
+
+
+def fit(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, prior: float = 0.1, longest: int = 64) -> PieceModel:
+    """Expectation-maximisation over the words of each language's texts.  Words of more
+    than ``longest`` letters are learned in runs of so many; texts are scored without
+    such cuts."""
     model = PieceModel.blank(pieces, sorted(texts))
     if not texts:
         return model
-    tallies = [pd.Series([w for x in texts[g] for w in LETTERS.findall(x.lower())], dtype=object).value_counts() for g in model.languages]
+    tallies = [pd.Series(_training_words(texts[g], longest), dtype=object).value_counts() for g in model.languages]
     counts = pd.concat(tallies, axis=1).fillna(0.0)
     words = counts.index.tolist()
     if not words:
         return model
-    runs, of = _runs(words)
-    counts = counts.to_numpy(float)[of]
+    counts = counts.to_numpy(float)
     for _ in range(rounds):
         expected = np.zeros_like(model.probs)
-        for at in range(0, len(runs), 20_000):
-            expected += model.forward(runs[at : at + 20_000], counts[at : at + 20_000])[1]
+        for x in _shares(words):
+            expected += model.forward(words[x], counts[x])[1]
         model.probs = (expected + prior) / (expected + prior).sum(0)
     return model
 
 
-def sample_texts(df: DataFrame, text_col: str, lang_col: str, per_language: int, longest: int, seed: int = 5) -> dict[str, list[str]]:
-    """At most ``per_language`` different texts of each language, of at most ``longest``
-    characters, picked by a hash of the text; a language that has only longer texts
-    gives their first ``longest`` characters.
-
-    The share is that of the different texts that can be picked, so a language
-    with any text is learned however often its texts are repeated."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"h": F.xxhash64("text", F.lit(seed)), "long": F.length("text") > longest})
-    sizes: dict[str, tuple[bool, int]] = {}
-    for lang, long, n in rows.select("lang", "long", "h").distinct().groupBy("lang", "long").count().collect():
-        if lang not in sizes or not long:
-            sizes[lang] = (long, n)
-    if not sizes:
-        return {}
-    of = lambda f: F.element_at(F.create_map(*(x for g, v in sizes.items() for x in (F.lit(g), F.lit(f(*v))))), F.col("lang"))
-    share = of(lambda _, n: min(1.0, 2.0 * per_language / n))
-    near = rows.filter((F.col("long") == of(lambda long, _: long)) & (F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)))
-    # One text for each hash before anything reaches the driver.
-    near = near.withColumn("text", F.substring("text", 1, longest)).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text", "h")
+def sample_texts(df: DataFrame, text_col: str, lang_col: str, per_language: int, characters: int = 2_000_000, seed: int = 5) -> dict[str, list[str]]:
+    """At most ``per_language`` different whole texts of each language, the first by a
+    hash of the text, until they have ``characters``; the first one in any case.  It
+    doesn't matter how often texts are repeated.
+
+    Hashes are ranked apart from the texts, and only the texts that are picked reach
+    the driver, one for each hash."""
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    distinct = materialize(rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("length")), "langid-hashes")
+    # A share of the hashes with enough of them for every language; a row for each language.
+    share = F.when(F.col("n") <= 2 * per_language, F.lit(1 << 30)).otherwise(F.lit(1 << 30) * (2.0 * per_language + 100) / F.col("n"))
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n")).withColumn("below", share)
+    near = distinct.join(sizes, "lang").withColumn("place", F.pmod("h", F.lit(1 << 30))).filter(F.col("place") < F.col("below"))
+    first = Window.partitionBy("lang").orderBy("place", "h")
+    ranked = near.withColumn("rank", F.row_number().over(first)).withColumn("ahead", F.sum("length").over(first) - F.col("length"))
+    picked = ranked.filter((F.col("rank") <= per_language) & ((F.col("rank") == 1) | (F.col("ahead") < characters))).select("lang", "h", "rank")
+    picked = materialize(picked, "langid-picked")
+    found = rows.join(picked, ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text"))
     out: dict[str, list[tuple]] = {}
-    for lang, text, key in near.toLocalIterator():
-        out.setdefault(lang, []).append((key, text))
-    return {g: [x[1] for x in sorted(v)[:per_language]] for g, v in sorted(out.items())}
+    for r in found.select("lang", "rank", "text").toLocalIterator():
+        out.setdefault(r.lang, []).append((r.rank, r.text))
+    return {g: [x[1] for x in sorted(v)] for g, v in sorted(out.items())}
 
 
 def _predict_batches(batches, model: PieceModel):
@@ -241,18 +278,19 @@ def identify(df: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     rows come out as often as they occur; an equal score goes to the language
     first in code point order; an empty table gives an empty result.
     """
+    ship(df.sparkSession)
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return picked.mapInArrow(streamed(lambda it: _predict_batches(it, model)), schema)
 
 
 def train(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, longest: int = 20_000, vocabulary: str | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, vocabulary: str | None = None
 ) -> PieceModel:
-    """Fits a model on rows whose id isn't held out and whose language is known,
-    on a sample of at most ``per_language`` texts of at most ``longest``
-    characters for each language."""
-    texts = sample_texts(df.filter(training_row(id_col, 4)), text_col, lang_col, per_language, longest)
+    """Fits a model on rows whose id isn't held out and whose language is known, on a
+    sample of at most ``per_language`` different texts of each language.  Every
+    language of such a row is learned; without any the model has none."""
+    texts = sample_texts(df.filter(training_row(id_col, 4)), text_col, lang_col, per_language)
     return fit(texts, public_pieces(vocabulary))
 
 
@@ -262,6 +300,8 @@ def langid_query(documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose language is told with a posterior of ``least`` or more."""
+    """The rows of ``df`` whose language is told with a posterior of ``least`` or more.
+    A null text and one without letters go; equal rows share their fate, an empty table
+    stays empty and columns of any name are passed on."""
     model = train(df)
     return filter_rows(df, "text", lambda batch: (x.column(2).to_numpy() >= least for x in _predict_batches([batch], model)))
