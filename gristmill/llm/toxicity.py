@@ -5,9 +5,10 @@ Dirichlet prior whose mean comes from the token's stem (its first five, then
 four letters) and in the end from all tokens, so an unseen form of a known stem
 is not neutral.  A token counts as evidence by the lower end of its interval;
 every other token costs ``drift``.  A linear-time scan finds all maximal-scoring
-segments, and extreme-value statistics turn the strongest of them into a p-value
-for a text of that length.  A one-variable logistic fit maps ``-log p`` to a
-probability.
+segments.  The extreme-value law of their scores tells which passages chance does
+not explain and how much the strongest ones of a text of that length tell together;
+a one-variable logistic fit maps that to a probability.  Constants are fitted on
+labelled rows that aren't held out, one half against the other.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import filter_rows, hashed_share, materialize, streamed, text_slices, training_row
+from gristmill.llm.common import filter_rows, hashed_share, materialize, ship, streamed, text_slices, training_row
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of the stems that a token's prior goes through, shortest first.
 STEMS = (4, 5)
+#: A passage is significant if chance makes one as strong in fewer than one clean text in twenty.
+LEVEL = 0.05
 
 
 def tokens(data: bytes | None) -> list[str]:
@@ -42,14 +45,16 @@ def features(token: str) -> list[str]:
 
 @dataclass
 class ToxicModel:
-    """``score`` of features that are evidence; ``rate`` and ``decay`` are the two
-    constants of the extreme-value law of segment scores."""
+    """``score`` of features that are evidence.  By the extreme-value law a clean text
+    of ``n`` tokens has ``reach * n * exp(-decay * s)`` segments of score ``s`` or more
+    at most; ``rate`` is how often a token is evidence there."""
 
     score: dict[str, float] = field(default_factory=dict)
     known: frozenset = frozenset()
     drift: float = 0.2
     rate: float = 0.05
     decay: float = 1.0
+    reach: float = 0.5
     intercept: float = -2.0
     slope: float = 0.5
 
@@ -86,8 +91,9 @@ class ToxicModel:
         return [(a, b, high - low) for a, b, low, high in kept]
 
     def evidence(self, segments: list[tuple[int, int, float]], length: int) -> float:
-        """``-log`` of the p-value of the strongest segments, in a text of ``length``
-        tokens: the r best scores as a Poisson tail, the most telling r."""
+        """How much the strongest segments tell in a text of ``length`` tokens: the r best
+        scores as a Poisson tail, ``-log`` of it for the most telling r.  ``rate`` stands
+        for ``reach`` here, so this is a statistic that the logistic curve calibrates."""
         best = 0.0
         for r, s in enumerate(sorted((x[2] for x in segments), reverse=True), 1):
             mean = self.rate * max(length, 1) * math.exp(-self.decay * s)
@@ -95,6 +101,9 @@ class ToxicModel:
             best = max(best, r * -math.log(max(mean, 1e-300)) + math.lgamma(r + 1) - math.log(r))
         return best
 
+    def significant(self, score: float, length: int) -> bool:
+        return self.reach * max(length, 1) * math.exp(-self.decay * score) < LEVEL
+
     def probability(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-min(50.0, max(-50.0, self.intercept + self.slope * evidence))))
 
@@ -133,6 +142,8 @@ def build(counts: dict[str, tuple[float, float]], texts: tuple[float, float], cl
             mid = (low + high) / 2
             low, high = (mid, high) if law(mid) < 0 else (low, mid)
         model.decay, model.rate = low, float(min(1.0, max(1e-5, p.sum())))
+        # A segment starts with a token that scores s and then has s less to go.
+        model.reach = float(min(1.0, max(1e-5, (p * np.exp(low * s)).sum())))
     return model
 
 
@@ -152,14 +163,24 @@ def _token_scores(found: list[list[str]], model: ToxicModel) -> list[list[tuple[
     return out
 
 
-def _score_batches(batches, model: ToxicModel, raw: bool = False):
+def _point_batches(batches, models: list[ToxicModel]):
+    """Evidence (in tenths) by each of the models, and labels, of rows of id, text, half and toxic."""
+    for batch in batches:
+        for part, texts in text_slices(batch, 1):
+            found = [tokens(x) for x in texts]
+            for i, model in enumerate(models):
+                evidence = [round(model.evidence(model.segments(x), len(w)), 1) for x, w in zip(_token_scores(found, model), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(texts), pa.int64()), pa.array(evidence, pa.float64()), part.column(3)], ["model", "x", "toxic"])
+
+
+def _score_batches(batches, model: ToxicModel):
     for batch in batches:
         for part, texts in text_slices(batch, 1):
             found = [tokens(x) for x in texts]
             segments = [model.segments(x) if x else [] for x in _token_scores(found, model)]
             evidence = [model.evidence(x, len(w)) for x, w in zip(segments, found, strict=True)]
-            passages = [[{"first": a, "last": b, "score": s} for a, b, s in x if model.evidence([(a, b, s)], len(w)) > 0] for x, w in zip(segments, found, strict=True)]
-            score = evidence if raw else [model.probability(e) for e in evidence]
+            passages = [[{"first": a, "last": b, "score": s} for a, b, s in x if model.significant(s, len(w))] for x, w in zip(segments, found, strict=True)]
+            score = [model.probability(e) for e in evidence]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(passages, _PASSAGES)], ["id", "score", "passages"])
 
 
@@ -167,16 +188,18 @@ _PASSAGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("s
 _PASSAGES_SQL = "array<struct<first:long,last:long,score:double>>"
 
 
-def score_texts(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", raw: bool = False) -> DataFrame:
+def score_texts(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``score`` (probability of label 1) and ``passages`` (token positions
-    and scores of every significant segment) for every row and whole text of ``df``.
+    and scores of every segment significant at the level of 0.05 for a text of that
+    length) for every row and whole text of ``df``.
 
     A null or empty text has no evidence and gets the lowest score.  Repeated rows
     come out as often as they occur; an empty table gives an empty result.
     """
+    ship(df.sparkSession)
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("passages", T._parse_datatype_string(_PASSAGES_SQL))])
-    return picked.mapInArrow(streamed(lambda it: _score_batches(it, model, raw)), schema)
+    return picked.mapInArrow(streamed(lambda it: _score_batches(it, model)), schema)
 
 
 def _count_batches(batches):
@@ -204,24 +227,30 @@ def _count_batches(batches):
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int, seed: int = 3) -> DataFrame:
-    """``id``, ``text``, ``half`` and ``toxic`` of at most about ``sample`` labelled
+    """``id``, ``text``, ``half`` and ``toxic`` of at most ``sample`` labelled
     training rows, by a hash of the id.  A text with several labels is toxic if one
-    says so; labels that are null don't count."""
+    says so; labels that are null don't count.  Of a repeated id one text is taken,
+    the first by its hash."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(training_row("doc_id", 4))
     marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = hashed_share(marks, "doc_id", sample, seed).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(sample).select(F.col("doc_id").alias("id"), "toxic", (F.pmod("h", F.lit(2))).cast("long").alias("half"))
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     # At most ``sample`` rows of three numbers: a bound that holds at every input size.
-    return texts.join(F.broadcast(picked), "id").select("id", "text", "half", F.col("toxic").cast("long").alias("toxic"))
+    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "half", "toxic")).alias("x"))
+    return found.select("id", "x.text", "x.half", F.col("x.toxic").cast("long").alias("toxic"))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 2) -> ToxicModel:
+def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 2, widths: tuple[float, ...] = (2.0, 3.0, 4.0, 5.0)) -> ToxicModel:
     """Fits a model on a sample of labelled rows that aren't held out.
 
     Features in fewer than ``least`` toxic texts are left to their stems.  Half of
-    the sample makes a first model, whose evidence on the other half fits the
-    logistic curve; the scores of the model returned come from both halves."""
-    rows = labelled_sample(documents, labels, sample)
+    the sample makes a model for each of the ``widths`` of intervals, whose evidence on
+    the other half fits a logistic curve; the width that tells the labels there best
+    counts.  The scores of the model returned come from both halves.  Without
+    labels of both kinds the model has no evidence; nulls and repeats are as in
+    :func:`labelled_sample`."""
+    ship(documents.sparkSession)
+    rows = materialize(labelled_sample(documents, labels, sample), "toxic-sample")
     half = lambda c: F.sum(F.when(F.col("half") == 0, F.col(c)).otherwise(0))
     words = (
         rows.mapInArrow(streamed(_count_batches), "token string, half long, toxic long, clean long")
@@ -237,18 +266,21 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, least:
     found = words.unionByName(stems).filter((F.col("a") >= least) | F.col("token").isin("", " ")).collect()
     of = {r.token: (r.a, r.b, r.a0, r.b0) for r in found}
     texts, size = of.pop("", (0, 0, 0, 0)), of.pop(" ", (0, 0, 0, 0))
-    first = build({t: x[2:] for t, x in of.items() if x[2] >= least}, texts[2:], size[3])
-    model = build({t: x[:2] for t, x in of.items()}, texts[:2], size[1])
-    other = rows.filter("half = 1")
-    points = score_texts(other.select("id", "text"), first, "id", "text", raw=True).join(F.broadcast(other.select("id", "toxic")), "id").groupBy(F.round("score", 1).alias("x")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()
-    model.intercept, model.slope = _logistic([(p.x, p.y, p.n) for p in points])
+    half = [build({t: x[2:] for t, x in of.items() if x[2] >= least}, texts[2:], size[3], z=z) for z in widths]
+    points = rows.filter("half = 1").mapInArrow(streamed(lambda it: _point_batches(it, half)), "model long, x double, toxic long")
+    points = points.groupBy("model", "x").agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()
+    curves = [_logistic([(p.x, p.y, p.n) for p in points if p.model == i]) for i in range(len(widths))]
+    best = min(range(len(widths)), key=lambda i: curves[i][2])
+    model = build({t: x[:2] for t, x in of.items()}, texts[:2], size[1], z=widths[best])
+    model.intercept, model.slope = curves[best][:2]
     return model
 
 
-def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Newton steps for ``y of n`` at ``min(x, 20)`` with a light penalty on the slope."""
+def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float, float]:
+    """Intercept, slope and loss of Newton steps for ``y of n`` at ``min(x, 20)`` with a
+    light penalty on the slope."""
     if not points or not 0 < sum(p[1] for p in points) < sum(p[2] for p in points):
-        return ToxicModel.intercept, ToxicModel.slope
+        return ToxicModel.intercept, ToxicModel.slope, 0.0
     x, y, n = np.array(points, float).T
     x = np.minimum(x, 20.0)
     w, design = np.array([0.0, 0.1]), np.stack([np.ones_like(x), x], 1)
@@ -260,7 +292,9 @@ def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(max(w[1], 1e-3))
+    w[1] = max(w[1], 1e-3)
+    odds = np.clip(design @ w, -30, 30)
+    return float(w[0]), float(w[1]), float((n * np.log1p(np.exp(odds)) - y * odds).sum())
 
 
 THRESHOLD = 0.3
@@ -279,6 +313,7 @@ def toxicity_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(df: DataFrame, documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` whose score is below ``threshold``; the model comes from
-    ``documents``."""
+    ``documents``.  A null or empty text has the lowest score, equal rows share their
+    fate, an empty table stays empty and columns of any name are passed on."""
     model = train(documents, labels)
     return filter_rows(df, "text", lambda batch: (x.column(1).to_numpy() < threshold for x in _score_batches([batch], model)))
