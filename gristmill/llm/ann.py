@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import materialize, ship
 from gristmill.llm.vectors import blocked, bounded_sample, first_k, frame, matrix, pair_up, ranked, sent, solve, usable
 
 
@@ -115,14 +115,13 @@ def nearest(
     codebook: int = 64,
     sample: int = 20_000,
     share: float = 0.5,
-    least: int = 2_000,
 ) -> DataFrame:
     """About the ``k`` nearest rows of ``df`` for each query, by Euclidean distance:
     ``query_id``, ``rank``, ``vec_id``, ``score`` (the exact distance).
 
     The codebooks are fitted on ``sample`` vectors at most; every vector is indexed.
-    A query looks at cells until they hold ``share`` of all vectors and ``least`` of
-    them (all, if there are fewer), which is what its recall depends on.
+    A query looks at cells until they hold ``share`` of all vectors, and more than ``k``
+    of them, at every size of the table; that is what its recall depends on.
 
     ``queries`` are rows of the same columns, by default those of ``df`` whose id
     is divisible by 100.  A row whose id or vector is null, whose vector is zero, or
@@ -132,6 +131,7 @@ def nearest(
     its smallest vector.  Vectors of different length are compared as if the shorter
     ended in zeros.  An empty table gives an empty result.
     """
+    ship(df.sparkSession)
     rows = usable(df, id_col, vector_col, nonzero=True)
     points = bounded_sample(rows, sample, 23)
     if not len(points):
@@ -146,7 +146,7 @@ def nearest(
     for r in data.groupBy("cell", "second").count().collect():
         sizes[r[0], r[1]] = r[2]
     by_cell = {c: int(n) for c, n in enumerate(sizes.sum(1)) if n}
-    flat, enough = sizes.ravel(), max(least, int(np.ceil(share * sizes.sum()))) + 1
+    flat, enough = sizes.ravel(), max(k, int(np.ceil(share * sizes.sum()))) + 1
 
     @F.pandas_udf("array<struct<cell:int,wanted:array<int>>>")
     def visit(v: pd.Series) -> pd.Series:
@@ -162,7 +162,7 @@ def nearest(
     asked = materialize(asked.select("vec_id", "v", visit("v").alias("visits")), "queries")
     placed = blocked(data, by_cell)
     visits = asked.withColumn("visit", F.explode("visits")).select("vec_id", "v", "visit.cell", "visit.wanted")
-    found = solve(placed, sent(visits, by_cell), asked.count(), _best(k, len(second)), "query_id long, vec_id long, score double")
+    found = solve(placed, sent(visits, by_cell), _best(k, len(second)), "query_id long, vec_id long, score double")
     return ranked(found, k, ["score"]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

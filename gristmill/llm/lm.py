@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import input_bytes, materialize, mix64, streamed, text_slices, training_row, uniform
+from gristmill.llm.common import input_bytes, materialize, mix64, ship, streamed, text_slices, training_row, uniform
 
 #: The end token: the hash of a string that can't be a word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -366,6 +366,7 @@ def score_texts(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     out as often as they occur.  Without training rows every token is unseen.  An
     empty table gives an empty result.
     """
+    ship(df.sparkSession)
     process = process or Process()
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
     shards = max(12, input_bytes(df, text_col) // SHARD_BYTES)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import materialize, streamed, text_slices
+from gristmill.llm.common import materialize, ship, streamed, text_slices
 from gristmill.llm.wordbpe import load
 
 CAPACITY = 2048
@@ -269,6 +269,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     ``capacity`` are cut.  Repeated rows are packed as often as they occur; an
     empty table gives an empty result; other columns are not looked at.
     """
+    ship(df.sparkSession)
     made = materialize(pieces(df, id_col, text_col, capacity, vocabulary, with_ids), "pieces")
     by_part = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("part")

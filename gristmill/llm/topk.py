@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import materialize, ship
 from gristmill.llm.vectors import blocked, bounded_sample, first_k, frame, matrix, pair_up, ranked, sent, solve, usable
 
 SCALE = 1024.0
@@ -104,6 +104,7 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col:
     different length are compared as if the shorter ended in zeros.  An empty table
     gives an empty result.
     """
+    ship(df.sparkSession)
     rows = usable(df, id_col, vector_col).withColumn("v", quantise(F.col("v")))
     centres = bounded_sample(rows, pivots, 17)
     if not len(centres):
@@ -128,8 +129,7 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col:
         homes[c] = [int(x) for x in near[: int(np.searchsorted(np.cumsum(sizes[near]), k + 1)) + 1] if sizes[x]]
     home = F.element_at(F.create_map(*(x for c, near in homes.items() for x in (F.lit(c), F.array(*map(F.lit, near)).cast("array<int>")))), F.col("home"))
     asked = materialize(asked.withColumn("cells", home), "queries")
-    n_queries = asked.count()
-    first = solve(placed, sent(asked.select("vec_id", "v", F.lit(float("nan")).alias("least"), F.explode("cells").alias("cell")), by_cell), n_queries, _best(k), _FOUND)
+    first = solve(placed, sent(asked.select("vec_id", "v", F.lit(float("nan")).alias("least"), F.explode("cells").alias("cell")), by_cell), _best(k), _FOUND)
     first = materialize(ranked(first, k, [F.desc("score")]).drop("rank"), "first")
     least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
     bound = _bounds(centres, radius, longest, sizes)
@@ -141,7 +141,7 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col:
 
     again = asked.join(least, asked.vec_id == least.query_id, "left").select("vec_id", "v", "least", others("v", "least", "cells").alias("cells"))
     again = materialize(again, "rest")
-    second = solve(placed, sent(again.select("vec_id", "v", F.coalesce("least", F.lit(float("nan"))).alias("least"), F.explode("cells").alias("cell")), by_cell), n_queries, _best(k), _FOUND)
+    second = solve(placed, sent(again.select("vec_id", "v", F.coalesce("least", F.lit(float("nan"))).alias("least"), F.explode("cells").alias("cell")), by_cell), _best(k), _FOUND)
     return ranked(first.unionByName(second), k, [F.desc("score")]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import hashed_share
+from gristmill.llm.common import hashed_share, materialize
 
 #: Vectors of a block, and queries that are solved against it at once.
 BLOCK = 4096
 RUN = 1024
+#: Blocks up to which the list of those asked for is broadcast (three numbers each).
+SMALL = 100_000
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, nonzero: bool = False) -> DataFrame:
@@ -75,19 +77,26 @@ def sent(queries: DataFrame, sizes: dict) -> DataFrame:
     return queries.withColumn("block", F.explode(F.sequence(F.lit(0), k - 1)))
 
 
-def solve(data: DataFrame, queries: DataFrame, n_queries: int, best: Callable, schema: str) -> DataFrame:
-    """Runs ``best(data rows, query rows)`` for every block and run of queries.
+def solve(data: DataFrame, queries: DataFrame, best: Callable, schema: str) -> DataFrame:
+    """Runs ``best(data rows, query rows)`` for every block that queries were sent to.
 
-    With more than ``RUN`` queries in all, they are cut into runs by a hash, and
-    each block is read once for each run."""
-    runs = max(1, -(-n_queries // RUN))
-    run = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(runs)).cast("int")
-    queries = queries.withColumn("run", run)
-    data = data.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))) if runs > 1 else data.withColumn("run", F.lit(0))
-    keys = ["cell", "block", "run"]
+    The queries of a block are cut into runs of about ``RUN`` by a hash, and the block
+    is copied for each of its own runs: a block that none asks for goes nowhere."""
+    keys = ["cell", "block"]
+    runs = queries.groupBy(*keys).agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    runs = materialize(runs, "runs")  # a row for each block
+    runs = runs.hint("broadcast") if runs.count() <= SMALL else runs
+    queries = queries.join(runs, keys).withColumn("run", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("runs")).cast("int")).drop("runs")
+    data = copies(data, runs)
+    keys = [*keys, "run"]
     return data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(best, schema)
 
 
+def copies(data: DataFrame, runs: DataFrame) -> DataFrame:
+    """Data rows of the blocks in ``runs``, one for each run."""
+    return data.join(runs, ["cell", "block"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
+
+
 def ranked(found: DataFrame, k: int, order: list) -> DataFrame:
     """The first ``k`` of each query by ``order`` and id, with their ``rank``."""
     w = Window.partitionBy("query_id").orderBy(*order, "vec_id")

@@ -43,9 +43,30 @@ def test_forward_sums_all_segmentations():
             if all(p in row or len(p) == 1 for p in parts):
                 expect += np.prod([model.probs[row.get(p, len(pieces))] for p in parts], axis=0)
         assert np.allclose(model.words([word])[0], np.log(expect))
-    counts = np.ones((3, 2))
-    _, expected = model.forward(["▁ab", "▁aba", "▁"], counts)
-    assert expected[:, 0].sum() >= 3  # at least a piece for each word
+    words, counts = ["ab", "abax", "bababab" * 2], np.array([[1.0, 2.0], [3.0, 0.0], [0.5, 1.0]])
+    _, expected = model.forward(words, counts)
+    brute = np.zeros_like(expected)
+    for word, n in zip(words, counts, strict=True):
+        ways = [[row.get(p, len(pieces)) for p in x] for x in segmentations("▁" + word) if all(p in row or len(p) == 1 for p in x)]
+        weights = np.array([np.prod(model.probs[w], axis=0) for w in ways])
+        for w, share in zip(ways, weights / weights.sum(0), strict=True):
+            np.add.at(brute, w, share * n)
+    assert np.allclose(expected, brute)
+
+
+def test_long_words_are_summed_whole():
+    pieces = ["a", "b", "ab", "aba", "▁", "▁a", "▁ab", "ba"]
+    model = langid.PieceModel.blank(pieces, ["p", "q"])
+    rng = np.random.default_rng(2)
+    model.probs = rng.dirichlet(np.ones(len(pieces) + 1), 2).T
+    row = {p: int(np.searchsorted(model.keys, np.uint64(langid._hash_piece(p)))) for p in pieces}
+    word = "".join(rng.choice(list("abx"), 500))
+    marked, logs = "▁" + word, [[0.0, 0.0]]
+    for t in range(1, len(marked) + 1):  # the plain recursion, in logs
+        ways = [(row.get(marked[t - n : t], len(pieces)), t - n) for n in (1, 2, 3) if t >= n and (n == 1 or marked[t - n : t] in row)]
+        logs.append([math.log(sum(math.exp(logs[u][g] - logs[-1][g]) * model.probs[i, g] for i, u in ways)) + logs[-1][g] for g in (0, 1)])
+    assert np.allclose(model.alone(word), logs[-1]) and np.allclose(model.words(["ab", word])[1], logs[-1])
+    assert np.allclose(model.forward([word, "ab"])[0], logs[-1]) and len(model.words([])) == 0
 
 
 def test_fit_raises_the_likelihood():
@@ -65,11 +86,13 @@ def test_langid_held_out_accuracy(spark):
 def test_every_training_language_is_sampled(spark):
     copies = spark.range(3000).selectExpr("concat('c', id % 20) AS lang", "concat('one text of ', id % 20) AS text")
     long = spark.range(9).selectExpr("'long' AS lang", "concat(repeat('word ', 20), id) AS text")
-    many = spark.range(500).selectExpr("'many' AS lang", "concat('text ', id) AS text")
-    got = langid.sample_texts(copies.unionByName(long).unionByName(many), "text", "lang", 4, 50)
+    many = spark.range(5000).selectExpr("'many' AS lang", "concat('text ', id) AS text")
+    rows = copies.unionByName(long).unionByName(many)
+    got = langid.sample_texts(rows, "text", "lang", 4, 150)
     assert got.keys() == {"long", "many", *(f"c{i}" for i in range(20))}
     assert all(got[f"c{i}"] == [f"one text of {i}"] for i in range(20))
-    assert len(got["many"]) == 4 and set(got["long"]) == {"word " * 10}
+    assert len(got["many"]) == 4 and len(got["long"]) == 2
+    assert langid.sample_texts(rows, "text", "lang", 4, 1)["long"] == got["long"][:1]
 
 
 def test_langid_odd_rows(odd, empty):
@@ -261,6 +284,53 @@ def test_toxicity_held_out(spark):
     assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
 
 
+def test_build_by_its_formulas():
+    counts = {"poison": (9, 1), "pois*": (9, 2), "the": (20, 80), "fresh": (4, 0)}
+    m = toxicity.build(counts, (20, 80), 5000, strength=10.0, z=1.0, least_score=0.2)
+    base = 0.2
+
+    def low(a, b, prior):
+        alpha, beta = a + 10 * prior, b + 10 * (1 - prior)
+        return alpha / (alpha + beta), math.log(alpha / beta) - math.log(base / (1 - base)) - math.sqrt(1 / (a + 10 * base) + 1 / (b + 10 * (1 - base)))
+
+    stem, score = low(9, 2, base)
+    expect = {"pois*": score, "poison": low(9, 1, stem)[1], "fresh": low(4, 0, base)[1]}
+    assert m.score == pytest.approx({k: v for k, v in expect.items() if v > 0.2}) and "the" in m.known
+    p = {"poison": (1 + 10 * (1 - stem) * base) / 5000, "fresh": (0 + 10 * (1 - base) * base) / 5000}
+    p = {k: v for k, v in p.items() if k in m.score}
+    assert m.rate == pytest.approx(max(1e-5, sum(p.values())))
+    assert m.reach == pytest.approx(min(1.0, sum(v * math.exp(m.decay * m.score[k]) for k, v in p.items())))
+    law = sum(v * math.exp(m.decay * m.score[k]) for k, v in p.items()) + (1 - sum(p.values())) * math.exp(-m.decay * m.drift)
+    assert law == pytest.approx(1.0, abs=1e-6) and m.decay > 0.05
+
+
+def test_a_labelled_row_repeated_often_stays_one(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "if(id % 4 = 0, 'vile words here', 'kind words here') as text")
+    many = docs.unionByName(spark.range(10_000).selectExpr("0L as doc_id", "'vile words here' as text"))
+    labels = spark.range(400).selectExpr("id as doc_id", "int(id % 4 = 0) as toxic")
+    sample = toxicity.labelled_sample(many, labels, 1000)
+    assert sample.count() == sample.select("id").distinct().count() == toxicity.labelled_sample(docs, labels, 1000).count()
+    a, b = toxicity.train(many, labels), toxicity.train(docs, labels)
+    assert a == b and a.probability(a.evidence(a.segments([(0, a.of_token("vile"))]), 3)) > 0.3
+
+
+def test_chance_finds_few_passages_in_clean_texts():
+    """Shuffled tokens without evidence for anything: significant passages are rare."""
+    rng = np.random.default_rng(4)
+    scores, rates = np.array([0.7, 1.5, 2.5]), np.array([0.02, 0.004, 0.0005])
+    law = lambda x: (rates * np.exp(x * scores)).sum() + (1 - rates.sum()) * math.exp(-x * 0.2) - 1
+    low, high = 0.01, 10.0
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if law((low + high) / 2) < 0 else (low, (low + high) / 2)
+    m = toxicity.ToxicModel(drift=0.2, reach=float((rates * np.exp(low * scores)).sum()), decay=low)
+    hit = 0
+    for _ in range(400):
+        drawn = rng.choice(4, 500, p=[*rates, 1 - rates.sum()])
+        segments = m.segments([(int(i), float(scores[drawn[i]])) for i in np.flatnonzero(drawn < 3)])
+        hit += any(m.significant(x[2], 500) for x in segments)
+    assert hit <= 0.05 * 400
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (2, 1, 0), (3, 1, None), (None, 1, 1), (8, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_query(odd, labels).collect()

@@ -64,6 +64,18 @@ def test_topk_against_brute_force(odd_vectors, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_blocks_are_copied_for_the_runs_that_ask(spark, monkeypatch):
+    """Block (0, 0) is asked for by five queries, (0, 1) by one and (1, 0) by none."""
+    monkeypatch.setattr(vectors, "RUN", 2)
+    sent = []
+    monkeypatch.setattr(vectors, "copies", lambda data, runs, f=vectors.copies: sent.append(f(data, runs)) or sent[-1])
+    data = spark.createDataFrame([(i, [1.0], i // 20, i // 10 % 2) for i in range(30)], "vec_id long, v array<double>, cell int, block int")
+    queries = spark.createDataFrame([(i, [1.0], 0, 0) for i in range(5)] + [(9, [1.0], 0, 1)], data.schema)
+    found = vectors.solve(data, queries, lambda a, b: a.head(len(b))[["vec_id"]] if len(b) else a.head(0)[["vec_id"]], "vec_id long")
+    found.collect()
+    assert {(r.cell, r.block): r["count"] for r in sent[0].groupBy("cell", "block").count().collect()} == {(0, 0): 30, (0, 1): 10}
+
+
 def test_topk_with_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert by_query(topk.top_k(df)) == {0: [(1, 1024 * 512), (2, 1024 * 512)]}
