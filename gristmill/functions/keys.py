@@ -18,14 +18,48 @@ def _or_empty(c: Column | str | None) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+#: Characters that aren't shown as they are in a list: all but printable ones and the space.
+_HIDDEN = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
+
+
+def quoted(text: Column) -> Column:
+    """The literal form of a text in a list: single quotes, double ones where the text
+    has single quotes only, escapes for what isn't printable; ``None`` for null."""
+    double = text.contains("'") & ~text.contains('"')
+    body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c, e in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(c), F.lit(e))
+
+    def hidden(c: Column) -> Column:
+        h = F.lower(F.hex(F.encode(c, "UTF-32")))
+        short = F.when(h.startswith("000000"), F.concat(F.lit("\\x"), F.substring(h, 7, 2))).when(h.startswith("0000"), F.concat(F.lit("\\u"), F.substring(h, 5, 4)))
+        return F.when(c.rlike(_HIDDEN), F.coalesce(short, F.concat(F.lit("\\U"), h))).otherwise(c)
+
+    parts = F.transform(F.regexp_extract_all(body, F.lit(rf"(?s){_HIDDEN}|(?:(?!{_HIDDEN}).)+"), F.lit(0)), hidden)
+    body = F.when(body.rlike(_HIDDEN), F.array_join(parts, "")).otherwise(body)
+    single = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(text.isNull(), F.lit("None")).when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(single)
+
+
 def short_id(*parts: Column) -> Column:
-    """Twelve hex digits of the SHA-1 of the parts as a JSON array."""
-    return F.substring(F.sha1(F.to_json(F.array(*parts)).cast("binary")), 1, 12)
+    """Twelve hex digits of the SHA-1 of a text, or of several in their list form."""
+    text = parts[0] if len(parts) == 1 else F.concat(F.lit("["), F.concat_ws(", ", *map(quoted, parts)), F.lit("]"))
+    return F.substring(F.sha1(text.cast("binary")), 1, 12)
+
+
+def ascii_json(json: Column) -> Column:
+    """JSON with every character beyond ASCII written as ``\\uXXXX``, in two halves
+    beyond the first 65,536."""
+    units = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
+    halves = lambda h: F.concat(F.lit("\\u"), F.substring(h, 1, 4), F.when(F.length(h) > 4, F.concat(F.lit("\\u"), F.substring(h, 5, 4))).otherwise(""))
+    escaped = F.transform(F.regexp_extract_all(json, F.lit(r"(?s)[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0)), lambda c: F.when(c.rlike(r"[^\x00-\x7f]"), halves(units(c))).otherwise(c))
+    return F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(escaped, "")).otherwise(json)
 
 
-def record_key(*, dataset, split, image_sha256=None, input_text=None, answer=None, answer_type=None, task_type=None, sample_id=None) -> Column:
+def record_key(*, dataset, split, image_sha256=None, input_text=None, answer=None, answer_type=None, task_type=None, sample_id=None, ascii_only: bool = False) -> Column:
     """SHA-256 of compact JSON with sorted keys; the sample id counts only where the
-    image's hash or the input is missing."""
+    image's hash or the input is missing.  ``ascii_only`` escapes what isn't ASCII, which
+    gives the keys of records that other writers made so."""
     image, text = _or_empty(image_sha256), _or_empty(input_text)
     fallback = F.when((image == "") | (text == ""), F.lit(None) if sample_id is None else F.col(sample_id) if isinstance(sample_id, str) else sample_id).otherwise("")
     values = dict(
@@ -36,7 +70,7 @@ def record_key(*, dataset, split, image_sha256=None, input_text=None, answer=Non
         )
     )
     payload = F.to_json(F.struct(*(v.cast("string").alias(k) for k, v in values.items())), {"ignoreNullFields": "false"})
-    return F.sha2(payload, 256)
+    return F.sha2(ascii_json(payload) if ascii_only else payload, 256)
 
 
 def recovered_key(record: str = "record", metadata: str = "metadata") -> Column:

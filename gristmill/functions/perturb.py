@@ -9,13 +9,36 @@ from gristmill.functions.keys import stable_index
 from gristmill.functions.text import _c, float_of, let, strip
 
 
+def _below_tie(x: Column) -> Column:
+    """``x``, or a number just below it where its shortest text is a tie of the fifth
+    digit that its binary value rounds down.
+
+    Five digits of the text over a power of ten are compared with the binary value by
+    a product whose rounding error is computed exactly (Dekker's)."""
+    high = lambda v: F.lit(134217729.0) * v - (F.lit(134217729.0) * v - v)
+
+    def scaled(p: Column) -> Column:
+        n = F.regexp_replace(F.substring_index(p["text"], "e", 1), "[-.]", "").cast("double")
+        scale = F.lit(4) - F.substring_index(p["text"], "e", -1).cast("int")
+        size = F.abs(p["x"])
+        return F.struct(p["x"].alias("x"), size.alias("v"), n.alias("n"), scale.alias("scale"), F.pow(F.lit(10.0), F.abs(scale)).alias("ten"))
+
+    def compared(p: Column) -> Column:
+        v, ten, product = p["v"], p["ten"], p["v"] * p["ten"]
+        vh, th = high(v), high(ten)
+        error = ((vh * th - product) + vh * (ten - th) + (v - vh) * th) + (v - vh) * (ten - th)
+        rest = F.when(p["scale"] >= 0, (product - p["n"]) + error).otherwise(v - p["n"] * ten)
+        near = F.abs(rest) < F.when(p["scale"] >= 0, p["n"]).otherwise(v) * 1e-12
+        down = near & (p["n"] % 10 == 5) & (F.abs(p["scale"]) <= 22) & ((rest < 0) | ((rest == 0) & (F.floor(p["n"] / 10) % 2 == 0)))
+        lower = F.when(p["scale"] >= 0, (p["n"] - 1) / ten).otherwise((p["n"] - 1) * ten)
+        return F.when(down, F.signum(p["x"]) * lower).otherwise(p["x"])
+
+    return let(F.struct(x.alias("x"), F.format_string("%.4e", x).alias("text")), lambda p: let(scaled(p), compared))
+
+
 def four_digits(x: Column) -> Column:
     """A double with four significant digits and no trailing zeros, in scientific
-    form below 1e-4 and from 1e4 on.
-
-    Rounding is that of the shortest decimal text of the double, half up: a double
-    whose text ends in a 5 at the fifth digit may differ in the last digit from
-    rounding its binary value."""
+    form below 1e-4 and from 1e4 on.  The binary value is rounded, ties to even."""
     trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     parts = lambda s: F.struct(
         F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
@@ -30,7 +53,7 @@ def four_digits(x: Column) -> Column:
         science = F.concat(trimmed(F.concat(F.substr(d, F.lit(1), F.lit(1)), F.lit("."), F.substr(d, F.lit(2)))), F.lit("e"), F.when(p < 0, "-").otherwise("+"), F.lpad(F.abs(p).cast("string"), 2, "0"))
         return F.concat(v["sign"], F.when((p < -4) | (p >= 4), science).when(p >= 0, trimmed(large)).otherwise(trimmed(small)))
 
-    return let(F.format_string("%.3e", x), lambda s: let(parts(s), write))
+    return let(F.format_string("%.3e", _below_tie(x)), lambda s: let(parts(s), write))
 
 
 def shift_number(answer: Column | str) -> Column:

@@ -249,3 +249,14 @@ def media_type(data: Column | str) -> Column:
 
 def data_url(data: Column | str) -> Column:
     return F.concat(F.lit("data:"), media_type(data), F.lit(";base64,"), F.regexp_replace(F.base64(_c(data)), "[\r\n]", ""))
+
+
+def metadata_value(metadata: Column | str, key: str) -> Column:
+    """A field of metadata (JSON text), as text; null where there is none or no metadata."""
+    return F.get_json_object(_c(metadata), f"$.{key}")
+
+
+def latency_ms(value: Column | str) -> Column:
+    """A latency, if the JSON value is a number; a quoted one isn't."""
+    text = strip(_c(value))
+    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), text.try_cast("double"))

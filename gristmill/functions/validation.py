@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import _c, contains_any, numbers, parse_float, rstrip_chars, starts_any, strip, word_count
+from gristmill.functions.text import _c, contains_any, let, numbers, parse_float, rstrip_chars, starts_any, strip, word_count
 
 # Required tags, terms and messages.
 STAGE1_TAGS = ("perceive", "extract", "answer")
@@ -84,8 +84,7 @@ def requires_compute(question, answer, answer_type, task_type, mode) -> Column:
 
 def extra_numbers(extract: Column | str, allowed_text: Column) -> Column:
     """Numbers of the extract that the other text hasn't, repeats kept."""
-    allowed = numbers(allowed_text)
-    return F.filter(numbers(extract), lambda x: ~F.array_contains(allowed, x))
+    return let(numbers(allowed_text), lambda allowed: F.filter(numbers(extract), lambda x: ~F.array_contains(allowed, x)))
 
 
 def allowance(question: Column | str) -> Column:
@@ -99,14 +98,18 @@ def simple_question(question: Column | str) -> Column:
 
 def lint_errors(text: Column | str, question: Column | str, answer: Column | str, stage: int = 1) -> Column:
     """Messages about an extract that says too much; none without an extract."""
-    extract = tag_value(text, "extract")
     if stage != 1:
         return F.array().cast("array<string>")
     q = F.coalesce(_c(question), F.lit(""))
-    extra = extra_numbers(extract, F.concat(q, F.lit(" "), F.coalesce(_c(answer), F.lit(""))))
-    many = F.when(F.size(extra) > allowance(q), F.concat(F.lit(EXTRA_NUMBERS[0]), F.array_join(extra, ", "), F.lit(EXTRA_NUMBERS[1])))
-    broad = F.when(simple_question(q) & (word_count(extract) > BROAD_WORDS), F.lit(TOO_BROAD))
-    return F.when(extract.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(many, broad)))
+    allowed = F.concat(q, F.lit(" "), F.coalesce(_c(answer), F.lit("")))
+
+    # The extract and its numbers are found once each.
+    def told(extract: Column) -> Column:
+        many = let(extra_numbers(extract, allowed), lambda extra: F.when(F.size(extra) > allowance(q), F.concat(F.lit(EXTRA_NUMBERS[0]), F.array_join(extra, ", "), F.lit(EXTRA_NUMBERS[1]))))
+        broad = F.when(simple_question(q) & (word_count(extract) > BROAD_WORDS), F.lit(TOO_BROAD))
+        return F.when(extract.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(many, broad)))
+
+    return let(tag_value(text, "extract"), told)
 
 
 def lint_message(errors: Column) -> Column:

@@ -10,7 +10,14 @@ from gristmill.functions.text import answer_mode, first_present, first_truthy, i
 
 #: Columns of the core schema in their order.
 CORE = ("id", "dataset", "image", "question", "answer", "answer_type", "supervision", "chart_type", "task_type", "tag", "metadata")
-STRUCTURE_QUESTION = "Write the chart's data with the structure tags."
+# Fixed value: the question of every structure row.
+STRUCTURE_QUESTION = (
+    "Extract the chart data as PlotQA XML-like tags. Return one series block per chart series using only these tags: <s>, <s_y>, <s_x>, <s_name>, and <sep/>. "
+    "Use actual values read from the chart only. Separate repeated values with <sep/>. "
+    "For vertical bar and line charts, put numeric values in <s_y> and x labels or zero-based x positions in <s_x>. "
+    "For horizontal bar charts, put category labels in <s_y> and numeric values in <s_x>. Use the visible legend or series label in <s_name>. "
+    "Do not output placeholders such as y1, y2, x1, x2, or series name. Do not output explanations, markdown, or any other tags."
+)
 
 
 def _core(df: DataFrame, **columns) -> DataFrame:
@@ -133,7 +140,7 @@ def mmc(df: DataFrame) -> DataFrame:
     source = F.coalesce(first_truthy(*_optional(df, "image_id", "id")), short_id(question, answer))
     return _core(
         df,
-        id=F.concat_ws(":", F.lit("mmc_benchmark"), source, F.substring(F.sha1(question.cast("binary")), 1, 12)),
+        id=F.concat_ws(":", F.lit("mmc_benchmark"), source, short_id(question)),
         dataset="mmc_benchmark",
         image=first_truthy(*_optional(df, "image", "image_id")),
         question=question,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import accuracy, metric_name
@@ -94,3 +94,31 @@ def row_metrics(rows: DataFrame, fields: tuple[str, ...], default: str = "unknow
 
 def row_mix(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def breakdown(scored: DataFrame, label: str) -> DataFrame:
+    """For each run the share of parsed predictions and the means of six figures of scored structures."""
+    means = ("model_quality_score", "component_f1", "fact_coverage", "value_f1", "series_f1", "x_label_f1")
+    mean = lambda c: F.avg(F.coalesce(F.col(f"plotqa_{c}").cast("double"), F.lit(0.0)))
+    return scored.groupBy(label).agg(F.count("*").alias("total"), mean("prediction_parse_ok").alias("prediction_parse"), *(mean(c).alias(c) for c in means))
+
+
+def most_common(rows: DataFrame, value: str, first: str) -> DataFrame:
+    """Values by falling count, ties by the first place (column ``first``) where they occur:
+    ``value``, ``n`` and ``place`` from 1.  The values are few: they are a report's rows."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).drop("first")
+
+
+def model_order(label: str, preferred: tuple[str, ...]) -> list[Column]:
+    """Sort keys: preferred labels in their order, then the others by name."""
+    at = F.array_position(F.array(*map(F.lit, preferred)), F.col(label))
+    return [F.when(at > 0, at).otherwise(len(preferred) + 1), F.col(label)]
+
+
+def metric_rows(log: DataFrame, step: str) -> DataFrame:
+    """Numeric columns of a training log as ``step``, ``metric`` (a safe name) and ``value``;
+    nulls give no row."""
+    names = [c for c, kind in log.dtypes if c != step and kind in ("int", "bigint", "float", "double")]
+    pairs = F.array(*(F.struct(metric_name(F.lit(c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in names))
+    return log.select(step, F.explode(pairs).alias("m")).select(step, "m.*").filter("value is not null")

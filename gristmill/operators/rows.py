@@ -37,11 +37,16 @@ def first_rows(flat: DataFrame, limit: int, *order: str) -> DataFrame:
     return flat.orderBy(*order).limit(limit)
 
 
-def with_rank(rows: DataFrame, order: str, name: str = "rank", step: int = 1 << 16) -> DataFrame:
+def with_rank(rows: DataFrame, order: str, name: str = "rank", size: int = 1 << 16) -> DataFrame:
     """Adds the place of each row in the order of a whole-number column, from 1.
 
-    Rows are counted by ranges of ``step`` values first, so no task sorts them all."""
-    sliced = rows.withColumn("__slice", F.floor(F.col(order) / step))
+    Rows are counted by ranges of values first, so no task sorts them all; a range is
+    as wide as holds ``size`` rows on average, however far apart the values are."""
+    seen = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
+    if not seen.n or seen.low is None:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("long"))
+    step = max(1, (seen.high - seen.low + 1) * size // seen.n)
+    sliced = rows.withColumn("__slice", F.coalesce(F.floor((F.col(order) - F.lit(seen.low)) / step), F.lit(-1)))
     sizes = sliced.groupBy("__slice").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__slice")) - F.col("__n")).drop("__n")
     local = F.row_number().over(Window.partitionBy("__slice").orderBy(order))

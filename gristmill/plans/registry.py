@@ -417,16 +417,23 @@ def structure_report(spark, d):
     return reports.structure_report(_structures(spark, d))
 
 
-@query("structure_variants")
+@query(
+    "structure_variants",
+    f"""SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN (count(*) - 1) / CAST(count(*) AS DOUBLE) ELSE 1.0::DOUBLE END AS point_f1, count(*) AS predicted_facts, 1.0::DOUBLE AS x_f1
+FROM ({_FACTS}) f GROUP BY sample_id""",
+)
 def structure_variants(spark, d):
-    """The series form of the gold structures, parsed back: attributes and child tags."""
+    """The series form of the gold structures, as attributes and as child tags; the last
+    value of every third is another."""
     orders = views.structure(spark, d).select("sample_id", "gold")
     x, y = (F.regexp_extract("gold", f"<s_{t}>(.*?)</s_{t}>", 1) for t in "xy")
+    y = F.when(F.col("sample_id") % 3 == 0, F.regexp_replace(y, "[^>]+$", "7")).otherwise(y)
     name = F.concat(F.lit("Cust "), "sample_id")
     inline = F.concat(F.lit('<series name="'), name, F.lit('" x="'), F.regexp_replace(x, "<sep/>", ";"), F.lit('" y="'), F.regexp_replace(y, "<sep/>", ";"), F.lit('"/>'))
     nested = F.concat(F.lit("<series label='"), name, F.lit("'><x>"), x, F.lit("</x><y>"), y, F.lit("</y></series>"))
     both = orders.withColumn("prediction", F.when(F.col("sample_id") % 2 == 0, inline).otherwise(nested))
-    return scoring.score_structures(both).select("sample_id", "score", "plotqa_point_f1", "plotqa_predicted_facts")
+    scored = scoring.score_structures(both)
+    return scored.select("sample_id", F.col("plotqa_point_f1").cast("double").alias("point_f1"), F.col("plotqa_predicted_facts").cast("long").alias("predicted_facts"), F.col("plotqa_x_f1").cast("double").alias("x_f1"))
 
 
 # --- counterexamples
@@ -444,8 +451,8 @@ _INDEX = f"CAST(('0x' || substr(sha256('13:' || {sql.strip('gold')}), 1, 8))::UB
 _FLOAT = sql.float_of("gold")
 _PERTURBED = f"""SELECT sample_id, gold, answer_type, CASE answer_type WHEN 'yes_no' THEN CASE lower({sql.strip("gold")}) WHEN 'yes' THEN 'no' WHEN 'true' THEN 'no' WHEN 'no' THEN 'yes' WHEN 'false' THEN 'yes' END
   WHEN 'multiple_choice' THEN {_OTHERS}[{_INDEX}]
-  WHEN 'numeric' THEN CASE WHEN ({_FLOAT}) = floor({_FLOAT}) THEN CAST(CAST(round_even(({_FLOAT}) + greatest(abs({_FLOAT}) * 0.05::DOUBLE, 1.0::DOUBLE), 0) AS BIGINT) AS VARCHAR) END END AS perturbed
-FROM ({views.QA}) q WHERE answer_type <> 'numeric' OR ({_FLOAT}) = floor({_FLOAT})"""
+  WHEN 'numeric' THEN CASE WHEN ({_FLOAT}) = floor({_FLOAT}) THEN CAST(CAST(round_even(({_FLOAT}) + greatest(abs({_FLOAT}) * 0.05::DOUBLE, 1.0::DOUBLE), 0) AS BIGINT) AS VARCHAR)
+    ELSE printf('%.4g', ({_FLOAT}) + greatest(abs({_FLOAT}) * 0.05::DOUBLE, 0.1::DOUBLE)) END END AS perturbed FROM ({views.QA}) q"""
 
 
 def _perturbed(spark, d):
@@ -455,16 +462,7 @@ def _perturbed(spark, d):
 
 @query("perturb_answer", f"SELECT sample_id, perturbed FROM ({_PERTURBED}) p")
 def perturb_answer(spark, d):
-    value = X.float_of("gold")
-    kept = _perturbed(spark, d).filter((F.col("answer_type") != "numeric") | (value == F.floor(value)))
-    return kept.select("sample_id", F.col("p.answer").alias("perturbed"))
-
-
-@query("perturb_fractions")
-def perturb_fractions(spark, d):
-    """Numbers that aren't whole: four significant digits, in a form SQL hasn't."""
-    value = X.float_of("gold")
-    return _perturbed(spark, d).filter((F.col("answer_type") == "numeric") & (value != F.floor(value))).select("sample_id", F.col("p.answer").alias("perturbed"))
+    return _perturbed(spark, d).select("sample_id", F.col("p.answer").alias("perturbed"))
 
 
 @query(
@@ -473,15 +471,7 @@ def perturb_fractions(spark, d):
   '<answer>' || perturbed || '</answer>' AS wrong FROM ({_PERTURBED}) p WHERE perturbed IS NOT NULL""",
 )
 def contrastive_record(spark, d):
-    value = X.float_of("gold")
-    return _contrastive(_perturbed(spark, d).filter((F.col("answer_type") != "numeric") | (value == F.floor(value))))
-
-
-@query("contrastive_fractions")
-def contrastive_fractions(spark, d):
-    """Contrastive records of the numbers that aren't whole, as in ``perturb_fractions``."""
-    value = X.float_of("gold")
-    return _contrastive(_perturbed(spark, d).filter((F.col("answer_type") == "numeric") & (value != F.floor(value))))
+    return _contrastive(_perturbed(spark, d))
 
 
 def _contrastive(perturbed):
@@ -503,13 +493,13 @@ def _contrastive(perturbed):
 
 _DATASETS = tuple(f"src{i}" for i in range(20))
 _INDEX_OF = "CASE source " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(_DATASETS)) + " END"
-_SPLIT = f"""SELECT doc_id, source, CASE WHEN rn <= floor(least(n, 40) * (1.0::DOUBLE - 0.05::DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256((13 + {_INDEX_OF}) || ':' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) r WHERE rn <= least(n, 40)"""
+_SPLIT = f"""SELECT doc_id, source, CASE WHEN rn <= floor(n * (1.0::DOUBLE - 0.05::DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256((13 + {_INDEX_OF}) || ':' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) r"""
 
 
-def _mix(spark, d, cap=40):
+def _mix(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return mixture.split(docs, key="doc_id", dataset="source", seed=13, val_split=0.05, cap=cap, datasets=_DATASETS)
+    return mixture.split(docs, key="doc_id", dataset="source", seed=13, val_split=0.05, datasets=_DATASETS)
 
 
 @query("mixture_split", _SPLIT)
@@ -519,11 +509,11 @@ def mixture_split(spark, d):
 
 @query(
     "mixture_with_contrastive",
-    f"""SELECT doc_id, source, split, false AS contrastive FROM ({_SPLIT}) s UNION ALL SELECT doc_id, source, split, true FROM ({_SPLIT}) s WHERE doc_id % 4 = 0""",
+    f"""SELECT doc_id, source, split, false AS contrastive FROM ({_SPLIT}) s UNION ALL SELECT doc_id, source, split, true FROM ({_SPLIT}) s""",
 )
 def mixture_with_contrastive(spark, d):
     mix = _mix(spark, d).withColumn("contrastive", F.lit(False))
-    wrong = table(spark, d, "documents").filter("doc_id % 4 = 0").select("doc_id", "source", F.lit(True).alias("contrastive"))
+    wrong = table(spark, d, "documents").select("doc_id", "source", F.lit(True).alias("contrastive"))
     return mixture.attach_contrastive(mix, wrong, key="doc_id").select("doc_id", "source", "split", "contrastive")
 
 
@@ -550,40 +540,6 @@ def row_mix(spark, d):
     return reports.row_mix(_mix(spark, d), "split", "source")
 
 
-# The same four without a cap, and a counterexample for every document.
-
-_SPLIT_ALL = f"""SELECT doc_id, source, CASE WHEN rn <= floor(n * (1.0::DOUBLE - 0.05::DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256((13 + {_INDEX_OF}) || ':' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) r"""
-
-
-@query("mixture_split_all", _SPLIT_ALL)
-def mixture_split_all(spark, d):
-    return _mix(spark, d, cap=None)
-
-
-@query(
-    "mixture_with_contrastive_all",
-    f"""SELECT doc_id, source, split, false AS contrastive FROM ({_SPLIT_ALL}) s UNION ALL SELECT doc_id, source, split, true FROM ({_SPLIT_ALL}) s""",
-)
-def mixture_with_contrastive_all(spark, d):
-    mix = _mix(spark, d, cap=None).withColumn("contrastive", F.lit(False))
-    wrong = table(spark, d, "documents").select("doc_id", "source", F.lit(True).alias("contrastive"))
-    return mixture.attach_contrastive(mix, wrong, key="doc_id").select("doc_id", "source", "split", "contrastive")
-
-
-@query(
-    "mixture_order_all",
-    f"SELECT doc_id, split, sha256(CASE split WHEN 'val' THEN '10013:' ELSE '13:' END || doc_id) AS shuffle FROM ({_SPLIT_ALL}) s",
-)
-def mixture_order_all(spark, d):
-    return mixture.final_order(_mix(spark, d, cap=None), "doc_id", 13).select("doc_id", "split", "shuffle")
-
-
-@query("row_mix_all", f"SELECT split, source, count(*) AS n FROM ({_SPLIT_ALL}) s GROUP BY 1, 2")
-def row_mix_all(spark, d):
-    return reports.row_mix(_mix(spark, d, cap=None), "split", "source")
-
-
 # --- records, failures, images
 
 
@@ -628,17 +584,21 @@ def image_store(spark, d):
     return images.first_of_each(images.stored(pages), "page_id").select("page_id", "sha256", "ref")
 
 
-@query("media_type", "SELECT page_id, 'image/png' AS media_type, 'data:image/png;base64,' || to_base64(encode(substr(html, 1, 40))) AS url FROM pages")
-def media_type(spark, d):
-    head = F.substring("html", 1, 40).cast("binary")
-    return table(spark, d, "pages").select("page_id", X.media_type(head).alias("media_type"), X.data_url(head).alias("url"))
+# Pages behind the first bytes of an image of four kinds by page_id.
+_HEADS = ("\\x89PNG\\x0D\\x0A\\x1A\\x0A", "\\xFF\\xD8\\xFF", "RIFF1234WEBP", "")
+_IMAGE = "CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{h}'::BLOB" for i, h in enumerate(_HEADS)) + " END || encode(html)"
 
 
-@query("media_type_all", "SELECT page_id, 'image/png' AS media_type, 'data:image/png;base64,' || to_base64(encode(html)) AS url FROM pages")
-def media_type_all(spark, d):
-    """The whole pages; ``media_type`` has their first 40 characters, as its SQL."""
-    html = F.col("html").cast("binary")
-    return table(spark, d, "pages").select("page_id", X.media_type(html).alias("media_type"), X.data_url(html).alias("url"))
+@query(
+    "media_type",
+    f"""SELECT page_id, kind AS media_type, 'data:' || kind || ';base64,' || to_base64({_IMAGE}) AS url FROM (
+  SELECT *, CASE page_id % 4 WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' ELSE 'image/png' END AS kind FROM pages) p""",
+)
+def media_type(spark, d):
+    heads = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"RIFF1234WEBP", b"")
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("page_id") % 4 + 1).cast("int"))
+    image = F.concat(head, F.col("html").cast("binary"))
+    return table(spark, d, "pages").select("page_id", X.media_type(image).alias("media_type"), X.data_url(image).alias("url"))
 
 
 # --- record builders

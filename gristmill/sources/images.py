@@ -54,6 +54,14 @@ def find_members(samples: DataFrame, members: DataFrame, key: str = "id") -> Dat
     return samples.join(exact, key, "left").join(near, key, "left").withColumn("member", F.coalesce("exact", "near")).drop("exact", "near")
 
 
+def find_archives(samples: DataFrame, listing: DataFrame, root: str, key: str = "id") -> DataFrame:
+    """Adds ``archive_path``: the archive as named, else below the folder of its dataset,
+    if the listing (column ``path``) has it."""
+    tried = samples.select(key, F.posexplode(F.array("archive", F.concat_ws("/", F.lit(root), "dataset", "archive"))).alias("rank", "path"))
+    found = tried.join(listing.select("path").distinct(), "path").groupBy(key).agg(F.min_by("path", "rank").alias("archive_path"))
+    return samples.join(found, key, "left")
+
+
 def archive_kind(path: str) -> str:
     name = PurePosixPath(path)
     if name.suffix == ".zip":

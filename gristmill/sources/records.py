@@ -8,7 +8,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.keys import ascii_json
 from gristmill.functions.text import first_truthy
+from gristmill.operators.mixture import critique
 
 SCHEMA_VERSION = "sft-train-data-v1"
 #: Columns of a failure in their order.
@@ -43,10 +45,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def guarded(df: DataFrame, version: str = "schema_version", key: str = "record_key") -> DataFrame:
-    """The same rows; reading them fails if one has another schema version."""
+    """The same rows; reading any column of them fails if one has another schema version."""
     message = F.concat(F.lit("Unsupported schema of record "), F.coalesce(F.col(key), F.lit("<missing>")))
-    checked = F.when(F.col(version).eqNullSafe(SCHEMA_VERSION), F.col(version)).otherwise(F.raise_error(message).cast("string"))
-    return df.withColumn(version, checked)
+    return df.filter(F.when(F.col(version).eqNullSafe(SCHEMA_VERSION), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def load_gold(spark: SparkSession, root: str, datasets, split: str, schema: str) -> DataFrame:
+    """Gold records of datasets in their fixed order, with ``dataset`` and ``dataset_order``."""
+    return _load(spark, root, datasets, split, schema, "gold")
+
+
+def load_contrastive(spark: SparkSession, root: str, datasets, split: str, schema: str) -> DataFrame:
+    """Counterexamples of datasets in their fixed order, as critiques."""
+    return critique(_load(spark, root, datasets, split, schema, "contrastive"))
+
+
+def _load(spark, root, datasets, split, schema, kind) -> DataFrame:
+    parts = [guarded(read_jsonl(spark, record_paths(root, name, split)[kind], schema)).withColumns({"dataset": F.lit(name), "dataset_order": F.lit(i)}) for i, name in enumerate(datasets)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def bad_keys(df: DataFrame, version: str = "schema_version", key: str = "record_key", n: int = 3) -> list[str]:
@@ -66,12 +85,28 @@ def manifest(dataset: str, split: str, command: dict, stats: dict, paths: dict[s
     return {"schema_version": SCHEMA_VERSION, "dataset": dataset, "split": split, "command": command, "stats": stats, "paths": relative}
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def load_images(replayed: DataFrame, root: str, files: DataFrame) -> DataFrame:
+    """Adds ``content`` to replayed failures: the bytes of the file ``root/image``, null
+    where there is none, so that the reference stays.  ``files`` has ``path`` and ``content``."""
+    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    found = files.select(plain.alias("__path"), "content")
+    at = F.regexp_replace(F.concat(F.lit(f"{root}/"), F.col("image")), "^file:/+", "/")
+    return replayed.withColumn("__path", at).join(found, "__path", "left").drop("__path")
+
+
+def bench_line(df: DataFrame) -> Column:
+    """Each row as a line of a bench file: sorted keys, ``, `` and ``: `` between them, ASCII only."""
+    name = lambda c: F.lit(json.dumps(c) + ": ")
+    value = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1"), F.lit("null"))
+    return ascii_json(F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(name(c), value(F.col(c))) for c in sorted(df.columns))), F.lit("}")))
+
+
+def write_text(spark: SparkSession, path: str, text: str | bytes) -> None:
     """One small file through the file system that the path names."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(text.encode() if isinstance(text, str) else text))
     out.close()
 
 

@@ -171,3 +171,28 @@ def test_structure_score(spark):
     assert got[3].bucket == "no_structural_tags" and got[4].bucket == "empty_output" and got[5].bucket == "gold_parse_error"
     assert got[6].score == 1.0 and got[6].bucket == "placeholder_output"
     assert got[7].bucket == "unparsed_schema_variant" and got[5].score == 1.0
+
+
+def test_four_digits_round_the_binary_value(spark):
+    import random
+
+    rng = random.Random(8)
+    values = [rng.randrange(1, 10**5) / 10 ** rng.randrange(0, 9) for _ in range(3000)] + [rng.randrange(1000, 10000) + 0.5 for _ in range(500)]
+    values += [rng.randrange(10000, 100000) * 10 ** rng.randrange(0, 6) * 1.0 for _ in range(500)] + [rng.uniform(-1e6, 1e6) for _ in range(500)] + [0.0, -12.345, 1e-7, 24.255, 1e22]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [(r.v, r.t) for r in df.select("v", perturb.four_digits(F.col("v")).alias("t")).collect()] == [(v, format(v, ".4g")) for v in values]
+
+
+def test_keys_in_ascii_and_ids_of_lists(spark):
+    import hashlib
+    import json
+
+    texts = ["plain", "Größe \U0001f600 \u2028\u00a0\u00ad", 'a "b"', "it's", "it's \"both\"", "back\\slash\n", "bell\x07", None]
+    df = spark.createDataFrame([(t, "x") for t in texts], "t string, u string")
+    got = df.select(keys.ascii_json(F.to_json(F.array("t"))).alias("j"), keys.short_id(F.col("t"), F.col("u")).alias("i"), keys.record_key(dataset="u", split="u", input_text="t", ascii_only=True).alias("k")).collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r.i == hashlib.sha1(str([t, "x"]).encode()).hexdigest()[:12]
+        if t is not None and "\x07" not in t:
+            assert r.j == json.dumps([t], separators=(",", ":"))
+        fields = dict.fromkeys(keys.KEY_FIELDS, "") | {"dataset": "x", "split": "x", "input": t or "", "version": keys.KEY_VERSION, "sample_id_fallback": None}
+        assert r.k == hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -1,46 +1,31 @@
-"""Queries over whole tables, beside those whose SQL states a cut."""
-
-import base64
-from decimal import ROUND_HALF_UP, Context
+"""Queries over whole tables that their SQL doesn't say, or only for some rows."""
 
 import __spark_entry__ as entry
 from gristmill.plans import views
 
 
-def test_mixtures_without_a_cap(spark, tmp_path):
+def test_mixtures_have_no_cap(spark, tmp_path):
     spark.range(1000).selectExpr("id AS doc_id", "concat('src', id % 2) AS source", "'t' AS text").write.parquet(f"{tmp_path}/documents.parquet")
     q = entry.queries()
     cut = {(s, k): n for s in ("src0", "src1") for k, n in (("train", 475), ("val", 25))}
-    assert {(r.source, r.split): r.n for r in q["row_mix_all"](spark, str(tmp_path)).collect()} == cut
-    split = {r.doc_id: r.split for r in q["mixture_split_all"](spark, str(tmp_path)).collect()}
+    assert {(r.source, r.split): r.n for r in q["row_mix"](spark, str(tmp_path)).collect()} == cut
+    split = {r.doc_id: r.split for r in q["mixture_split"](spark, str(tmp_path)).collect()}
     assert sorted(split) == list(range(1000))
-    order = [(r.split, r.shuffle) for r in q["mixture_order_all"](spark, str(tmp_path)).collect()]
+    order = [(r.split, r.shuffle) for r in q["mixture_order"](spark, str(tmp_path)).collect()]
     assert len(order) == 1000 and order == sorted(order)
-    both = q["mixture_with_contrastive_all"](spark, str(tmp_path)).collect()
+    both = q["mixture_with_contrastive"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.contrastive, r.split) for r in both) == sorted((i, c, s) for i, s in split.items() for c in (False, True))
 
 
-def four_digits(x):
-    """As stated in ``perturb.four_digits``: ties of the shortest decimal text go up."""
-    return f"{float(Context(prec=4, rounding=ROUND_HALF_UP).create_decimal(repr(x))):.4g}"
-
-
 def test_every_perturbed_answer_has_a_contrastive_record(spark, sf):
-    q = entry.queries()
-    got = [r for n in ("contrastive_record", "contrastive_fractions") for r in q[n](spark, sf).collect()]
+    got = entry.queries()["contrastive_record"](spark, sf).collect()
     numeric = {r.sample_id: r.gold for r in views.qa(spark, sf).filter("answer_type = 'numeric'").collect()}
     expect = {}
     for i, gold in numeric.items():
         v = float(gold)
         moved = v + max(abs(v) * 0.05, 1.0 if v.is_integer() else 0.1)
         told = f"<verdict>FAIL</verdict>\n<correct_answer>{gold}</correct_answer>\n<correction>\n<answer>{gold}</answer>\n</correction>"
-        expect[i] = (told, f"<answer>{round(moved) if v.is_integer() else four_digits(moved)}</answer>")
+        expect[i] = (told, f"<answer>{round(moved) if v.is_integer() else format(moved, ".4g")}</answer>")
     found = {r.sample_id: (r.output, r.wrong) for r in got if r.sample_id in numeric}
     assert len(got) == len({r.sample_id for r in got})
     assert found == expect
-
-
-def test_data_urls_of_whole_pages(spark, sf):
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    got = {r.page_id: r.url for r in entry.queries()["media_type_all"](spark, sf).collect()}
-    assert got == {i: "data:image/png;base64," + base64.b64encode(html.encode()).decode() for i, html in pages.items()}
