@@ -2,15 +2,17 @@
 
 Every context is a Chinese restaurant whose customers are the tokens seen in it;
 each table of a restaurant is a customer of the restaurant of the shorter
-context.  Contexts are the last two bytes of the word before, then its last
-byte, then nothing, so there are 65,536 restaurants at most however large the
-corpus is, and restaurants that end alike share a parent.  That keeps everything
-a dish needs in one place: its customers in all restaurants are stored together,
-dealt by the word, and only the totals of the restaurants are global.
-
-Seating is sampled by Gibbs sweeps in which every dish is seated anew given the
-totals of the sweep before and its own parent probabilities.  Random numbers are
-hashes of word, context and sweep, so a lost task seats alike when it is run
+context.  Contexts are the word before, then its ending, then nothing.  The word
+before is told by 16 bits, eight of a hash of its last two bytes above eight of a
+hash of the whole word, so that words that end alike share a parent and there are
+65,536 restaurants at most however large the corpus is; words whose bits agree
+share a restaurant.  That keeps everything a dish needs in one place: its
+customers in all restaurants are stored together, dealt by the word, and only the
+totals of the restaurants are global.
+
+Seating is sampled by Gibbs sweeps: the customers of a dish leave all restaurants
+and are seated again given the totals of the others after the sweep before, dishes
+side by side.  Random numbers are hashes of word, context and sweep, so a lost task seats alike when it is run
 again, and a later job replays the sweeps instead of storing them.  The
 predictive probabilities of several sweeps are averaged.
 
@@ -46,8 +48,9 @@ SHARD_BYTES = 16 << 20
 def tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and contexts of all tokens of whole texts, and tokens by text.
 
-    A context has the last byte of the word before above its second last (a space
-    for one-byte words); the first token of a text has context 0."""
+    A context has eight bits of a hash of the last two bytes of the word before (a
+    space before one-byte words) above eight of its own hash; the first token of a
+    text has context 0."""
     split = [x.lower().split() if x else [] for x in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     flat = [w for x in split for w in x]
@@ -58,11 +61,12 @@ def tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
         lens = np.fromiter(map(len, flat), np.int64, total)
         raw = np.frombuffer(b"".join(flat), np.uint8)
         ends = np.cumsum(lens)
-        last = raw[ends - 1].astype(np.uint16)
-        second = np.where(lens > 1, raw[np.maximum(ends - 2, 0)], 32).astype(np.uint16)
         place = np.arange(total) + np.repeat(np.arange(len(texts)), sizes)
         hashes[place] = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, total)
-        contexts[place + 1] = (last << np.uint16(8)) | second
+        last = raw[ends - 1].astype(np.uint64)
+        second = np.where(lens > 1, raw[np.maximum(ends - 2, 0)], 32).astype(np.uint64)
+        ending = (mix64((last << np.uint64(8)) | second) >> np.uint64(56)).astype(np.uint16)
+        contexts[place + 1] = (ending << np.uint16(8)) | (hashes[place] >> np.uint64(56)).astype(np.uint16)
     return hashes, contexts, sizes + 1
 
 
@@ -79,9 +83,10 @@ def _blob(*arrays: np.ndarray) -> list[bytes]:
 
 
 _COUNTS = "shard long, words binary, contexts binary, counts binary"
+_MODEL = f"{_COUNTS}, tokens long"
 
 
-def _count_batches(batches, shards: int, flush: int = 3_000_000):
+def _count_batches(batches, shards: int, flush: int = 1_500_000):
     held: list[tuple] = []
     size = 0
 
@@ -95,7 +100,7 @@ def _count_batches(batches, shards: int, flush: int = 3_000_000):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "words", "contexts", "counts"])
 
     for batch in batches:
-        for _, texts in text_slices(batch, 0, 8 << 20):
+        for _, texts in text_slices(batch, 0):
             words, contexts, _ = tokenize(texts)
             held.append(_pairs(words, contexts, np.ones(len(words), np.int64)))
             size += len(held[-1][0])
@@ -112,7 +117,7 @@ def _merge_counts(group: pd.DataFrame) -> pd.DataFrame:
         np.concatenate([np.frombuffer(x, np.uint16) for x in group.contexts]),
         np.concatenate([np.frombuffer(x, np.int64) for x in group.counts]),
     )
-    return pd.DataFrame([(group.shard.iloc[0], *_blob(words, contexts, counts))], columns=["shard", "words", "contexts", "counts"])
+    return pd.DataFrame([(group.shard.iloc[0], *_blob(words, contexts, counts), counts.sum())], columns=["shard", "words", "contexts", "counts", "tokens"])
 
 
 @dataclass
@@ -145,22 +150,49 @@ class Process:
         return (self.strength[level] + self.discount[level] * totals.tables[level]) / weight, 1.0 / weight
 
 
-def seat(customers: np.ndarray, pull: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
-    """Tables of each dish after seating its customers.
-
-    ``pull`` is the weight of a new table: what the restaurant gives its parent,
-    times the parent's probability of the dish.  Customers sit down one at a time
-    while there are few, then in groups of an eighth of those seated whose new
-    tables are their expected number, rounded at random."""
+def binomial(n: np.ndarray, chance: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Binomial draws from uniform ``u`` by inversion; where a draw expects over 100, by
+    the normal law."""
+    out = np.floor(np.clip(n * chance + np.sqrt(n * chance * (1 - chance)) * _normal(u) + 0.5, 0, n)).astype(np.int64)
+    at = np.flatnonzero(n * chance <= 100)
+    n, chance, rest = n[at], chance[at], u[at].copy()
+    mass, odds = np.exp(n * np.log1p(-chance)), chance / (1 - chance)
+    out[at] = k = 0
+    open_ = np.arange(len(at))
+    while True:
+        rest[open_] -= mass[open_]
+        open_ = open_[(rest[open_] > 0) & (k < n[open_])]
+        if not len(open_):
+            return out
+        mass[open_] *= odds[open_] * (n[open_] - k) / (k + 1)
+        k += 1
+        out[at[open_]] = k
+
+
+def _normal(u: np.ndarray) -> np.ndarray:
+    """Standard normal deviates of uniform numbers, nearly: the logistic law's, scaled."""
+    return np.log(u / (1 - u)) * math.sqrt(3) / math.pi
+
+
+def seat(customers: np.ndarray, pull: np.ndarray, parent: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
+    """Tables of each dish after taking its customers away and seating them again.
+
+    ``pull`` is the weight of a new table without any of the dish's own: what the
+    restaurant gives its parent, times ``parent``, the parent's probability of the dish;
+    each table that the dish gets adds ``discount * parent``.  Customers sit down one at a
+    time up to 16, then in groups of an eighth of those seated, whose new tables are a
+    binomial draw by the chance that the first of them has."""
     tables = np.ones(len(customers), np.int64)
     seated = np.ones(len(customers), np.int64)
     open_ = np.flatnonzero(customers > 1)
     step = 0
     while len(open_):
-        n, t, w = seated[open_], tables[open_], pull[open_]
+        n, t = seated[open_], tables[open_]
+        w = pull[open_] + discount * t * parent[open_]
         group = np.minimum(customers[open_] - n, np.maximum(1, n // 8))
         chance = w / (w + n - discount * t)
-        tables[open_] = t + np.floor(group * chance + uniform(keys[open_] + np.uint64(step))).astype(np.int64)
+        u = uniform(keys[open_] + np.uint64(step))
+        tables[open_] = t + (binomial(group, chance, u) if group.max() > 1 else (u < chance))
         seated[open_] = n + group
         open_ = open_[seated[open_] < customers[open_]]
         step += 1
@@ -211,8 +243,9 @@ class Shard:
         tables = []
         for level in range(3):
             customers = self.customers[0] if level == 0 else np.add.reduceat(tables[-1], (self.first_one, self.first_word)[level - 1]) if len(tables[-1]) else tables[-1]
-            pull = (process.strength[level] + process.discount[level] * totals.tables[level][self.rooms[level]]) * parents[level]
-            tables.append(seat(customers, pull, process.discount[level], self.keys[level] + np.uint64(number << 20)))
+            others = totals.tables[level][self.rooms[level]] - self.tables[level]
+            pull = (process.strength[level] + process.discount[level] * others) * parents[level]
+            tables.append(seat(customers, pull, parents[level], process.discount[level], self.keys[level] + np.uint64(number << 20)))
         self.seats(tables)
 
     def totals(self) -> list[np.ndarray]:
@@ -234,7 +267,7 @@ def _replay(shard: Shard, process: Process) -> Iterator[tuple[Shard, Totals]]:
 
 def _total_batches(batches, process: Process):
     """The totals of the shards of a task after all sweeps so far and one more."""
-    sums, words, tokens = None, 0, {}
+    sums, words = None, 0
     for batch in batches:
         for row in batch.to_pylist():
             shard = _shard(row)
@@ -243,30 +276,25 @@ def _total_batches(batches, process: Process):
             found = shard.totals()
             sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
             words += len(shard.words)
-            tokens[row["shard"]] = int(shard.customers[0].sum())
     if sums is not None:
         rows = [(i, int(k), int(x[k])) for i, x in enumerate(sums) for k in np.flatnonzero(x)]
-        rows += [(6, 0, words), *((7, p, n) for p, n in tokens.items())]
+        rows.append((6, 0, words))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["kind", "place", "n"])
 
 
-def fit(counts: DataFrame, process: Process, samples: int = 2) -> tuple[Process, dict[int, int]]:
+def fit(counts: DataFrame, process: Process, samples: int = 2) -> Process:
     """Runs the sweeps; ``history`` gets the totals of the first seating and of
-    every sweep.  What reaches the driver are the totals of 65,793 restaurants at
-    most and one number for each shard."""
-    shard_tokens: dict[int, int] = {}
+    every sweep.  What reaches the driver are the totals of 65,793 restaurants at most."""
     for _ in range(process.burn_in + samples + 1):
         totals = Totals([np.zeros(n, np.int64) for n in (CONTEXTS, 256, 1)], [np.zeros(n, np.int64) for n in (CONTEXTS, 256, 1)], 0)
         frozen = Process(process.discount, process.strength, process.unseen, list(process.history), process.burn_in)
-        for kind, place, n in counts.mapInArrow(streamed(lambda it, p=frozen: _total_batches(it, p)), "kind long, place long, n long").groupBy("kind", "place").agg(F.sum("n")).collect():
+        for kind, place, n in counts.drop("tokens").mapInArrow(streamed(lambda it, p=frozen: _total_batches(it, p)), "kind long, place long, n long").groupBy("kind", "place").agg(F.sum("n")).collect():
             if kind < 6:
                 (totals.customers if kind < 3 else totals.tables)[kind % 3][place] = n
-            elif kind == 6:
-                totals.words = n
             else:
-                shard_tokens[place] = n
+                totals.words = n
         process.history.append(totals)
-    return process, shard_tokens
+    return process
 
 
 def _packed_batches(batches, shards: int, copies: dict[int, int]):
@@ -371,13 +399,16 @@ def score_texts(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
     shards = max(12, input_bytes(df, text_col) // SHARD_BYTES)
     texts = rows.filter(~F.col("held")).select("text")
-    counts = texts.mapInArrow(streamed(lambda it: _count_batches(it, shards)), _COUNTS).groupBy("shard").applyInPandas(_merge_counts, _COUNTS)
+    counts = texts.mapInArrow(streamed(lambda it: _count_batches(it, shards)), _COUNTS).groupBy("shard").applyInPandas(_merge_counts, _MODEL)
     counts = materialize(counts, "lm-counts")
-    process, sizes = fit(counts, process, samples)
-    usual = max(1, sum(sizes.values()) // shards)
-    copies = {p: n for p, size in sizes.items() if (n := -(-size // usual)) > 1}
-    replicas = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in copies.items() for x in kv)), F.col("shard")), F.lit(1)) if copies else F.lit(1)
-    model = counts.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), replicas.cast("long") - 1)))
+    process = fit(counts, process, samples)
+    # Shards with twice the usual tokens are read by several tasks; they are the shards of
+    # very frequent words, half of all at most.
+    usual = counts.agg(F.avg("tokens")).first()[0] or 1.0
+    copies = {r.shard: r.n for r in counts.filter(F.col("tokens") > 2 * usual).select("shard", F.ceil(F.col("tokens") / usual).alias("n")).collect()}
+    hot = df.sparkSession.createDataFrame(list(copies.items()), "shard long, n long")
+    model = counts.drop("tokens").join(hot, "shard", "left")
+    model = model.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1).cast("long")) - 1))).drop("n")
     identity = rows.schema["id"].dataType
     packed = T._parse_datatype_string("shard long, copy long, run long, words binary, contexts binary, docs binary")
     packed.add("ids", T.ArrayType(identity)).add("held", T.ArrayType(T.BooleanType()))

@@ -478,13 +478,42 @@ def test_lm_predictions_sum_to_one():
         assert two.sum() + unseen == pytest.approx(1.0)
 
 
+def one_by_one(customers, pull, parent, discount, rng):
+    """Tables after seating customers singly: the process as defined."""
+    n = t = 1
+    while n < customers:
+        w = pull + discount * t * parent
+        t += rng.random() < w / (w + n - discount * t)
+        n += 1
+    return t
+
+
 def test_seating_bounds_and_repeats():
-    customers = np.array([1, 2, 50, 5000, 10**7])
-    keys = np.arange(5, dtype=np.uint64)
-    tables = lm.seat(customers, np.full(5, 0.5), 0.8, keys)
-    assert (tables >= 1).all() and (tables <= customers).all() and tables[0] == 1
-    assert (np.diff(tables) >= 0).all()
-    assert tables.tolist() == lm.seat(customers, np.full(5, 0.5), 0.8, keys).tolist()
+    rng = np.random.default_rng(6)
+    customers = rng.integers(1, 5000, 2000)
+    parent = rng.random(2000) * 0.1
+    pull, keys = 20 * parent, rng.integers(0, 2**63, 2000).astype(np.uint64)
+    tables = lm.seat(customers, pull, parent, 0.8, keys)
+    assert (tables >= 1).all() and (tables <= customers).all()
+    assert (tables == lm.seat(customers, pull, parent, 0.8, keys)).all() and (tables[customers == 1] == 1).all()
+
+
+@pytest.mark.parametrize(("customers", "pull", "parent"), [(2, 0.5, 0.1), (12, 3.0, 0.3), (300, 5.0, 0.05)])
+def test_seating_follows_the_process(customers, pull, parent):
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    got = lm.seat(np.full(4000, customers), np.full(4000, pull), np.full(4000, parent), 0.8, keys)
+    expect = np.array([one_by_one(customers, pull, parent, 0.8, rng) for _ in range(2000)])
+    assert got.mean() == pytest.approx(expect.mean(), rel=0.05)
+    assert got.std() == pytest.approx(expect.std(), rel=0.15)
+
+
+def test_binomial_draws():
+    rng = np.random.default_rng(5)
+    for n, p in ((1, 0.3), (20, 0.05), (40, 0.6), (5000, 0.1)):
+        x = lm.binomial(np.full(20_000, n), np.full(20_000, p), rng.random(20_000))
+        assert x.min() >= 0 and x.max() <= n
+        assert x.mean() == pytest.approx(n * p, rel=0.03) and x.std() == pytest.approx(math.sqrt(n * p * (1 - p)), rel=0.05)
 
 
 def test_lm_odd_rows(odd, empty):
