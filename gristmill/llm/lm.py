@@ -42,7 +42,7 @@ from gristmill.llm.common import input_bytes, materialize, mix64, ship, streamed
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
 CONTEXTS = 1 << 16
 #: Bytes of input for each shard of words.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 
 def tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,52 +200,72 @@ def seat(customers: np.ndarray, pull: np.ndarray, parent: np.ndarray, discount:
 
 
 class Shard:
-    """The dishes of one shard: counts by (word, context) and their seating."""
+    """The dishes of one shard: counts by (word, context) and their seating.
+
+    Arrays of a place for each pair are views of the stored row or four bytes wide;
+    whatever else a sweep needs of them is made for ``CHUNK`` pairs at a time."""
+
+    CHUNK = 1 << 16
 
     def __init__(self, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        self.rooms = [contexts.astype(np.int64)]
-        self.fresh_word = np.r_[True, words[1:] != words[:-1]][: len(words)]
-        one = self.fresh_word | np.r_[True, (contexts[1:] >> 8) != (contexts[:-1] >> 8)][: len(words)]
-        self.to_one = np.cumsum(one) - 1
-        self.first_one = np.flatnonzero(one)
-        self.rooms.append(self.rooms[0][self.first_one] >> 8)
-        fresh = self.fresh_word[self.first_one]
-        self.to_word = np.cumsum(fresh) - 1
-        self.first_word = np.flatnonzero(fresh)
+        self.pairs = words
+        fresh_word = np.r_[True, words[1:] != words[:-1]][: len(words)]
+        one = fresh_word | np.r_[True, (contexts[1:] >> 8) != (contexts[:-1] >> 8)][: len(words)]
+        self.to_one = np.cumsum(one, dtype=np.int32) - np.int32(1)
+        self.first_one = np.flatnonzero(one).astype(np.int32)
+        fresh = fresh_word[self.first_one]
+        self.to_word = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+        self.first_word = np.flatnonzero(fresh).astype(np.int32)
         self.words = words[self.first_one][self.first_word]
-        self.rooms.append(np.zeros(len(self.words), np.int64))
-        with np.errstate(over="ignore"):
-            self.keys = [mix64(words ^ (contexts.astype(np.uint64) << np.uint64(40)))]
-        self.keys += [mix64(self.keys[0][self.first_one]), mix64(self.keys[0][self.first_one][self.first_word] + np.uint64(1))]
+        self.rooms = [contexts, contexts[self.first_one] >> 8, np.zeros(len(self.words), np.uint8)]
         self.customers = [counts, np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.seats([np.ones(len(counts), np.int64), np.ones(len(self.to_word), np.int64), np.ones(len(self.words), np.int64)])
+        self.seats([np.ones(len(x), np.int32) for x in (counts, self.to_word, self.words)])
         self.counts = np.add.reduceat(np.add.reduceat(counts, self.first_one), self.first_word) if len(counts) else counts
 
     def seats(self, tables: list[np.ndarray]) -> None:
         self.tables = tables
         if len(tables[0]):
-            self.customers[1] = np.add.reduceat(tables[0], self.first_one)
-            self.customers[2] = np.add.reduceat(tables[1], self.first_word)
-
-    def probabilities(self, process: Process, totals: Totals, level: int) -> np.ndarray:
-        """Of the dishes of a level in their own restaurants."""
-        parent = process.base(totals.words)[0] if level == 2 else self.probabilities(process, totals, level + 1)[(self.to_one, self.to_word)[level]]
+            self.customers[1] = np.add.reduceat(tables[0], self.first_one, dtype=np.int64)
+            self.customers[2] = np.add.reduceat(tables[1], self.first_word, dtype=np.int64)
+
+    def keys(self, level: int, at: slice) -> np.ndarray:
+        """Hashes of (word, context) of some dishes of a level, other ones at each."""
+        if level == 2:
+            return mix64(self.words[at] + np.uint64(1))
+        place = at if level == 0 else self.first_one[at]
+        with np.errstate(over="ignore"):
+            own = mix64(self.pairs[place] ^ (self.rooms[0][place].astype(np.uint64) << np.uint64(40)))
+        return own if level == 0 else mix64(own)
+
+    def probabilities(self, process: Process, totals: Totals, level: int, at: slice = slice(None), parents: np.ndarray | None = None) -> np.ndarray:
+        """Of the dishes of a level in their own restaurants; ``parents`` has those of the
+        next level, if they are known."""
+        if level == 2:
+            parent = process.base(totals.words)[0]
+        else:
+            parents = self.probabilities(process, totals, level + 1) if parents is None else parents
+            parent = parents[(self.to_one, self.to_word)[level][at]]
         rest, scale = process.back_off(level, totals)
-        room = self.rooms[level]
-        return (self.customers[level] - process.discount[level] * self.tables[level]) * scale[room] + rest[room] * parent
+        room = self.rooms[level][at]
+        return (self.customers[level][at] - process.discount[level] * self.tables[level][at]) * scale[room] + rest[room] * parent
 
     def sweep(self, process: Process, totals: Totals, number: int) -> None:
-        parents = [
-            self.probabilities(process, totals, 1)[self.to_one],
-            self.probabilities(process, totals, 2)[self.to_word],
-            np.full(len(self.words), process.base(totals.words)[0]),
-        ]
-        tables = []
+        word = self.probabilities(process, totals, 2)
+        parents = [self.probabilities(process, totals, 1, parents=word), word]
+        tables, customers = [], self.customers[0]
         for level in range(3):
-            customers = self.customers[0] if level == 0 else np.add.reduceat(tables[-1], (self.first_one, self.first_word)[level - 1]) if len(tables[-1]) else tables[-1]
-            others = totals.tables[level][self.rooms[level]] - self.tables[level]
-            pull = (process.strength[level] + process.discount[level] * others) * parents[level]
-            tables.append(seat(customers, pull, parents[level], process.discount[level], self.keys[level] + np.uint64(number << 20)))
+            out = np.empty(len(customers), np.int32)
+            for start in range(0, len(customers), self.CHUNK):
+                at = slice(start, start + self.CHUNK)
+                parent = parents[level][(self.to_one, self.to_word)[level][at]] if level < 2 else np.full(len(out[at]), process.base(totals.words)[0])
+                others = totals.tables[level][self.rooms[level][at]] - self.tables[level][at]
+                pull = (process.strength[level] + process.discount[level] * others) * parent
+                out[at] = seat(customers[at], pull, parent, process.discount[level], self.keys(level, at) + np.uint64(number << 20))
+            tables.append(out)
+            if level < 2 and len(out):
+                customers = np.add.reduceat(out, (self.first_one, self.first_word)[level], dtype=np.int64)
+            elif level < 2:
+                customers = np.zeros(0, np.int64)
         self.seats(tables)
 
     def totals(self) -> list[np.ndarray]:
@@ -269,8 +289,8 @@ def _total_batches(batches, process: Process):
     """The totals of the shards of a task after all sweeps so far and one more."""
     sums, words = None, 0
     for batch in batches:
-        for row in batch.to_pylist():
-            shard = _shard(row)
+        for i in range(batch.num_rows):
+            shard = _shard(batch.slice(i, 1).to_pylist()[0])
             for number, totals in enumerate(process.history):
                 shard.sweep(process, totals, number)
             found = shard.totals()
@@ -330,12 +350,12 @@ def _score_shard(model: pd.DataFrame, tokens: pd.DataFrame, process: Process) ->
     empty = {"words": b"", "contexts": b"", "counts": b""}
     shard = _shard(model.iloc[0] if len(model) else empty)
     pair = (np.repeat(np.arange(len(shard.words)), np.diff(np.r_[shard.first_word, len(shard.to_word)]))[shard.to_one] << 16) | shard.rooms[0] if len(shard.words) else np.empty(0, np.int64)
-    one = (shard.to_word << 8) | shard.rooms[1] if len(shard.words) else np.empty(0, np.int64)
+    one = (shard.to_word.astype(np.int64) << 8) | shard.rooms[1] if len(shard.words) else np.empty(0, np.int64)
     sampled = []
     for s, totals in _replay(shard, process):
         back = [process.back_off(level, totals) for level in range(3)]
         word = s.probabilities(process, totals, 2)
-        own = [(s.customers[i] - process.discount[i] * s.tables[i]) for i in range(2)]
+        own = [(s.customers[i] - process.discount[i] * s.tables[i]).astype(np.float32 if i == 0 else np.float64) for i in range(2)]
         sampled.append((back, word, own, float(process.base(totals.words)[1] * back[2][0][0])))
     out = []
     for r in tokens.itertuples():

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import materialize, placed
 
 #: Bits that one round adds to the prefixes.
 STEP = 16
@@ -84,8 +84,15 @@ def shard(df: DataFrame, key_col: str = "doc_id", content_col: str = "text", lim
     null key is a key.  Repeated rows come out as often as they occur.  An empty
     table gives an empty result; other columns are not looked at.
     """
-    size = F.coalesce(F.octet_length(F.col(content_col).cast("string")), F.lit(0)).cast("long")
-    rows = df.select(F.col(key_col).alias("id"), hash_bits(key_col, content_col).alias("bits"), size.alias("bytes"))
+    found = _shards(df.select(F.col(key_col).alias("id"), F.col(content_col).cast("string").alias("content")), [], limit)
+    return found.select(F.col("id").alias(key_col), "bytes", "shard", "page", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+
+
+def _shards(df: DataFrame, kept: list[str], limit: int) -> DataFrame:
+    """``id``, ``bytes``, ``shard``, ``page``, ``shard_bytes`` and the columns ``kept`` of
+    rows of ``id`` and ``content``."""
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    rows = df.select("id", hash_bits("id", "content").alias("bits"), size.alias("bytes"), *kept)
     rows = materialize(rows.withColumn("part", F.spark_partition_id()), "shard-rows")
     buckets = materialize(directory(rows, limit), "shard-directory")
     depths = [r[0] for r in buckets.select("cell_depth").distinct().collect()]
@@ -110,21 +117,22 @@ def shard(df: DataFrame, key_col: str = "doc_id", content_col: str = "text", lim
     )
     both = single.unionByName(many)
     name = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
-    return both.select(F.col("id").alias(key_col), "bytes", name.alias("shard"), "page", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+    return both.select("id", "bytes", name.alias("shard"), "page", "shard_bytes", *kept)
 
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", content_col: str = "text", limit: int = LIMIT, shard_col: str = "shard_id") -> None:
-    """Writes the rows of ``df`` as Parquet, a folder for each shard; ``shard_col``, which
-    names the folders, must not be a column of ``df``."""
-    marked = df.withColumn("__bits", hash_bits(key_col, content_col))
-    size = F.coalesce(F.octet_length(F.col(content_col).cast("string")), F.lit(0)).cast("long")
-    buckets = materialize(directory(marked.select(F.col("__bits").alias("bits"), size.alias("bytes")), limit), "shard-directory")
-    out = None
-    for high in sorted(r[0] for r in buckets.select("cell_depth").distinct().collect()):
-        own = buckets.filter(F.col("cell_depth") == high).select(F.col("cell").alias("__cell"), F.concat_ws("-", "depth", "prefix").alias(shard_col))
-        part = marked.withColumn("__cell", F.shiftrightunsigned("__bits", 64 - high)).join(own, "__cell").drop("__cell", "__bits")
-        out = part if out is None else out.unionByName(part)
-    (df.withColumn(shard_col, F.lit("*")) if out is None else out).repartition(shard_col).write.partitionBy(shard_col).parquet(path)
+    """Writes the rows of ``df`` as Parquet, a folder for each shard, and for each page of
+    a shard that has pages: ``shard_col``, which must not be a column of ``df``, is the name
+    that :func:`shard` gives, with ``_`` for an only shard and ``-page`` behind it from page 1.
+
+    Nulls, repeated rows, oversized rows and an empty table (one that writes no folder)
+    are as in :func:`shard`; other columns are passed on.  Whole rows are dealt by
+    their place and then by folder, so no task gets more than the limit of a key."""
+    rows = placed(df)
+    named = _shards(rows.select(F.col(f"row.`{key_col}`").alias("id"), F.col(f"row.`{content_col}`").cast("string").alias("content"), "file", "place"), ["file", "place"], limit)
+    folder = F.concat(F.when(F.col("shard") == "*", "_").otherwise(F.col("shard")), F.when(F.col("page") > 0, F.concat(F.lit("-"), "page")).otherwise(""))
+    out = rows.join(named.select("file", "place", folder.alias(shard_col)).hint("shuffle_hash"), ["file", "place"]).select("row.*", shard_col)
+    out.repartition(shard_col).write.partitionBy(shard_col).parquet(path)
 
 
 def sharding_query(documents: DataFrame) -> DataFrame:

@@ -558,5 +558,15 @@ def test_only_oversized_buckets_split(spark, sf):
 
 def test_write_shards(spark, tmp_path, odd):
     sharding.write_shards(odd, f"{tmp_path}/shards", limit=200)
-    assert spark.read.parquet(f"{tmp_path}/shards").drop("shard_id").columns == odd.columns
-    assert spark.read.parquet(f"{tmp_path}/shards").count() == odd.count()
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.drop("shard_id").columns == odd.columns
+    assert back.count() == odd.count()
+    named = {r.doc_id: r.shard for r in sharding.shard(odd, limit=200).collect()}
+    assert all(r.shard_id.split("-")[0] == named[r.doc_id] for r in back.select("doc_id", "shard_id").collect())
+
+
+def test_equal_rows_are_written_in_pages(spark, tmp_path):
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("ten bytes.").alias("text"))
+    sharding.write_shards(same, f"{tmp_path}/shards", limit=64)
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/shards").groupBy("shard_id").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) == 6 and len(sizes) == 500
