@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import input_bytes, materialize, mix64, ship, streamed, text_slices, training_row, uniform
+from gristmill.llm.common import input_bytes, materialize, mix64, settle, ship, streamed, text_slices, training_row, uniform
 
 #: The end token: the hash of a string that can't be a word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -45,12 +45,23 @@ CONTEXTS = 1 << 16
 SHARD_BYTES = 8 << 20
 
 
-def tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokenize(texts: list[bytes | None], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and contexts of all tokens of whole texts, and tokens by text.
 
     A context has eight bits of a hash of the last two bytes of the word before (a
     space before one-byte words) above eight of its own hash; the first token of a
-    text has context 0."""
+    text has context 0.  Texts are split ``step`` bytes at a time, or one by one."""
+    ends = np.cumsum([len(x) if x else 0 for x in texts])
+    parts, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+        parts.append(_tokenize(texts[at:to]))
+        at = to
+    parts = parts or [_tokenize([])]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     split = [x.lower().split() if x else [] for x in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     flat = [w for x in split for w in x]
@@ -112,6 +123,7 @@ def _count_batches(batches, shards: int, flush: int = 1_500_000):
 
 
 def _merge_counts(group: pd.DataFrame) -> pd.DataFrame:
+    settle()
     words, contexts, counts = _pairs(
         np.concatenate([np.frombuffer(x, np.uint64) for x in group.words]),
         np.concatenate([np.frombuffer(x, np.uint16) for x in group.contexts]),
@@ -344,6 +356,7 @@ def _packed_batches(batches, shards: int, copies: dict[int, int]):
 
 def _score_shard(model: pd.DataFrame, tokens: pd.DataFrame, process: Process) -> pd.DataFrame:
     """Sums of log10 probabilities by run and document over the tokens of one shard."""
+    settle()
     columns = ["run", "docs", "known", "base", "score", "ids", "held", "sizes"]
     if len(tokens) and tokens["shard"].iloc[0] < 0:
         return pd.DataFrame([(r.run, None, None, None, None, r.ids, r.held, r.words) for r in tokens.itertuples()], columns=columns)

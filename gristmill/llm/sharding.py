@@ -122,15 +122,15 @@ def _shards(df: DataFrame, kept: list[str], limit: int) -> DataFrame:
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", content_col: str = "text", limit: int = LIMIT, shard_col: str = "shard_id") -> None:
     """Writes the rows of ``df`` as Parquet, a folder for each shard, and for each page of
-    a shard that has pages: ``shard_col``, which must not be a column of ``df``, is the name
-    that :func:`shard` gives, with ``_`` for an only shard and ``-page`` behind it from page 1.
+    a shard that has pages: ``shard_col``, which must not be a column of ``df``, is ``s`` and
+    the bits that :func:`shard` gives (none for an only shard), with ``-page`` behind from page 1.
 
     Nulls, repeated rows, oversized rows and an empty table (one that writes no folder)
     are as in :func:`shard`; other columns are passed on.  Whole rows are dealt by
     their place and then by folder, so no task gets more than the limit of a key."""
     rows = placed(df)
     named = _shards(rows.select(F.col(f"row.`{key_col}`").alias("id"), F.col(f"row.`{content_col}`").cast("string").alias("content"), "file", "place"), ["file", "place"], limit)
-    folder = F.concat(F.when(F.col("shard") == "*", "_").otherwise(F.col("shard")), F.when(F.col("page") > 0, F.concat(F.lit("-"), "page")).otherwise(""))
+    folder = F.concat(F.lit("s"), F.when(F.col("shard") == "*", "").otherwise(F.col("shard")), F.when(F.col("page") > 0, F.concat(F.lit("-"), "page")).otherwise(""))
     out = rows.join(named.select("file", "place", folder.alias(shard_col)).hint("shuffle_hash"), ["file", "place"]).select("row.*", shard_col)
     out.repartition(shard_col).write.partitionBy(shard_col).parquet(path)
 

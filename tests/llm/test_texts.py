@@ -562,7 +562,7 @@ def test_write_shards(spark, tmp_path, odd):
     assert back.drop("shard_id").columns == odd.columns
     assert back.count() == odd.count()
     named = {r.doc_id: r.shard for r in sharding.shard(odd, limit=200).collect()}
-    assert all(r.shard_id.split("-")[0] == named[r.doc_id] for r in back.select("doc_id", "shard_id").collect())
+    assert all(r.shard_id.split("-")[0] == "s" + named[r.doc_id] for r in back.select("doc_id", "shard_id").collect())
 
 
 def test_equal_rows_are_written_in_pages(spark, tmp_path):
