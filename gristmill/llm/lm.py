@@ -97,7 +97,7 @@ _COUNTS = "shard long, words binary, contexts binary, counts binary"
 _MODEL = f"{_COUNTS}, tokens long"
 
 
-def _count_batches(batches, shards: int, flush: int = 1_500_000):
+def _count_batches(batches, shards: int, flush: int = 600_000):
     held: list[tuple] = []
     size = 0
 
@@ -333,7 +333,7 @@ def _packed_batches(batches, shards: int, copies: dict[int, int]):
     """One row with the ids of each run of documents, and one for each shard with its tokens."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for part, texts in text_slices(batch, 2, 8 << 20):
+        for part, texts in text_slices(batch, 2, 4 << 20):
             run = (task << 32) | number
             number += 1
             words, contexts, sizes = tokenize(texts)
