@@ -230,9 +230,12 @@ def sample_texts(df: DataFrame, text_col: str, lang_col: str, per_language: int,
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
     distinct = materialize(rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("length")), "langid-hashes")
-    # A share of the hashes with enough of them for every language; a row for each language.
+    # A share of the hashes with enough of them for every language; a row for each language,
+    # broadcast if they are few, so that a language with most texts isn't gathered.
     share = F.when(F.col("n") <= 2 * per_language, F.lit(1 << 30)).otherwise(F.lit(1 << 30) * (2.0 * per_language + 100) / F.col("n"))
     sizes = distinct.groupBy("lang").agg(F.count("*").alias("n")).withColumn("below", share)
+    sizes = materialize(sizes, "langid-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
     near = distinct.join(sizes, "lang").withColumn("place", F.pmod("h", F.lit(1 << 30))).filter(F.col("place") < F.col("below"))
     first = Window.partitionBy("lang").orderBy("place", "h")
     ranked = near.withColumn("rank", F.row_number().over(first)).withColumn("ahead", F.sum("length").over(first) - F.col("length"))
