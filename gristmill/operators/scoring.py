@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import structure as S
 from gristmill.functions import text as X
+from gristmill.sources import scratch
 
 
 def score_typed(df: DataFrame) -> DataFrame:
@@ -98,7 +99,24 @@ def summarize(scored: DataFrame, *by: str) -> DataFrame:
 
 def running_accuracy(scored: DataFrame, order: str, by: str) -> DataFrame:
     """Adds ``running_correct``, ``running_total`` and ``running_accuracy`` in the order
-    of a column within each group."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = scored.withColumns({"running_correct": F.sum(F.col("correct").cast("long")).over(w), "running_total": F.count("*").over(w)})
-    return out.withColumn("running_accuracy", X.accuracy(F.col("running_correct"), F.col("running_total")))
+    of a column within each group; null groups and nulls first in the order.
+
+    Sums come in two steps, so a group with most of the rows isn't sorted in one task:
+    rows are written by ranges of group and order, summed by range, and what the ranges
+    before hold of a group is added to the sums within one.  Rows that are alike in both
+    columns fall into one range and come in any order."""
+    spark = scored.sparkSession
+    path = scratch.folder(spark, "running")
+    scored.repartitionByRange(by, order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sums = ranged.groupBy(F.col("__range").alias("__r"), F.col(by).alias("__by")).agg(F.sum(F.col("correct").cast("long")).alias("__c"), F.count("*").alias("__n"))
+    w = Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__r", "__by", *(F.sum(c).over(w).alias(f"{c}_before") for c in ("__c", "__n")))
+    w = Window.partitionBy("__range", by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumns({"__c": F.sum(F.col("correct").cast("long")).over(w), "__n": F.count("*").over(w)})
+    out = out.join(before, (out["__range"] == before["__r"]) & out[by].eqNullSafe(before["__by"]))
+    # A sum is null as long as no row of the group has been judged.
+    correct = F.when(F.col("__c").isNotNull() | F.col("__c_before").isNotNull(), F.coalesce("__c", F.lit(0)) + F.coalesce("__c_before", F.lit(0)))
+    out = out.withColumns({"running_correct": correct, "running_total": F.col("__n") + F.coalesce("__n_before", F.lit(0))})
+    out = out.withColumn("running_accuracy", X.accuracy(F.col("running_correct"), F.col("running_total")))
+    return out.select(*scored.columns, "running_correct", "running_total", "running_accuracy")

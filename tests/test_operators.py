@@ -233,3 +233,20 @@ def test_command_and_config(tmp_path):
     got = config.load_settings(tmp_path / "c.toml")
     assert got["inference"]["max_new_tokens"] == 64 and got["inference"]["adapter_path"] is None and got["model"]["path"] == "artifacts/pretrained/tiny"
     assert config.config_hash({"b": {3, 1}, "a": (1,)}) == config.config_hash({"a": [1], "b": [1, 3]})
+
+
+def test_running_accuracy_of_a_hot_group(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(3_000).selectExpr(
+        "concat('s', id) AS sample_id",
+        "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN concat('g', id % 3) END AS dataset",
+        "CASE WHEN id % 7 > 0 THEN id % 3 = 0 END AS correct",
+    )
+    out = scoring.running_accuracy(df, "sample_id", "dataset")
+    w = Window.partitionBy("dataset").orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.selectExpr("*", "CAST(correct AS long) AS c").withColumns({"c": F.sum("c").over(w), "n": F.count("*").over(w)})
+    key = lambda r: r[0]
+    got = sorted(map(tuple, out.select("sample_id", "dataset", "running_correct", "running_total").collect()), key=key)
+    assert got == sorted(map(tuple, want.select("sample_id", "dataset", "c", "n").collect()), key=key)
+    assert scoring.running_accuracy(df.limit(0), "sample_id", "dataset").count() == 0
