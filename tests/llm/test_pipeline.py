@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline as P
 
 from gristmill.llm import langid, simhash, toxicity
+from gristmill.llm.common import materialize
 
 
 def test_stages_filter_and_keep_the_columns(spark):
@@ -34,3 +35,22 @@ def test_run_applies_the_stages_in_order(spark, sf):
     for r in rows:
         used[r.sequence_id] += r.length
     assert rows and max(used.values()) <= 2048
+
+
+def test_run_stands_odd_rows_and_an_empty_table(spark, odd, empty, tmp_path):
+    labels = spark.createDataFrame([(1, 0), (8, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
+    packed = {}
+    for name, docs in (("odd", odd), ("empty", empty)):
+        d = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        packed[name] = P.run(spark, d).collect()
+        kept = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, f in P.STAGES[:-1]:
+            kept = materialize(f(spark, kept, d), f"odd-{stage}")
+            assert kept.columns == docs.columns
+        assert Counter(r.doc_id for r in packed[name] if r.piece == 0) == Counter(r.doc_id for r in kept.select("doc_id").collect())
+    assert not packed["empty"]
+    # Texts without letters go with the language; of the three equal texts one row stays.
+    ids = {r.doc_id for r in packed["odd"]}
+    assert ids and ids.isdisjoint({2, 3, 4, 5})
