@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources import records
+from gristmill.streaming import log
+
 
 def gold_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
     """Keys of the gold rows written so far; None before the first batch."""
@@ -17,7 +20,27 @@ def gold_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
     return spark.read.parquet(path).select(key).distinct()
 
 
-def run(source: DataFrame, *, gold: str, checkpoint: str, key: str, written, prepare: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+def manifest_report(spark: SparkSession, dataset: str, split: str, command: dict, paths: dict[str, str], root: str) -> Callable[[dict, Exception | None], None]:
+    """A report for :func:`run` that writes the manifest, whether the stream failed or not."""
+
+    def report(stats: dict[str, int], _: Exception | None) -> None:
+        records.write_manifest(spark, paths["manifest"], records.manifest(dataset, split, command, stats, paths, root))
+
+    return report
+
+
+def run(
+    source: DataFrame,
+    *,
+    gold: str,
+    checkpoint: str,
+    key: str,
+    written: Column,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    error: Column | None = None,
+    skipped: str | None = None,
+    report: Callable[[dict[str, int], Exception | None], None] | None = None,
+) -> dict[str, int]:
     """Runs a stream to its end and returns counters.
 
     Each micro-batch leaves out rows whose key is among the gold rows and appends
@@ -25,26 +48,50 @@ def run(source: DataFrame, *, gold: str, checkpoint: str, key: str, written, pre
     written: repeats within a batch are both processed, and rows that were skipped
     come again on a later run.  A batch's rows go to a folder of its own, so a batch
     that runs again after a failure replaces what it left; an error ends the stream
-    with the earlier batches in place."""
+    with the earlier batches in place.
+
+    One bad row doesn't end the stream: where ``error`` (a string; null: none) tells
+    what is wrong with a row, that row is skipped whatever ``written`` says and the
+    rest of its batch goes on.  With ``skipped``, a folder, the rows that weren't
+    written go there with their ``skip_error``, by batch as the others.  ``report``
+    gets the counters and the error that ended the stream (None: none) before that
+    error is raised again."""
     stats = {"total": 0, "written": 0, "skipped": 0, "deduped": 0}
+    batches = 0
 
     def batch(rows: DataFrame, number: int) -> None:
+        nonlocal batches
         spark = rows.sparkSession
-        folder = f"{gold}/batch={number}"
         rows = prepare(rows) if prepare else rows
         seen = gold_keys(spark, gold, key)
-        flag = F.coalesce(written, F.lit(False)).alias("__written")
+        wrong = F.lit(None).cast("string") if error is None else error
+        flag = F.coalesce(written, F.lit(False)) & wrong.isNull()
         fresh = rows if seen is None else rows.join(seen, key, "left_anti")
-        fresh = fresh.select("*", flag).persist()
+        fresh = fresh.select("*", flag.alias("__written"), wrong.alias("__error")).persist()
         try:
             total = rows.count()
             counts = fresh.agg(F.count("*").alias("n"), F.count_if("__written").alias("w")).first()
-            fresh.filter("__written").drop("__written").write.mode("overwrite").parquet(folder)
+            if skipped is not None:
+                left = fresh.filter("NOT __written").drop("__written").withColumnRenamed("__error", "skip_error")
+                left.write.mode("overwrite").parquet(f"{skipped}/batch={number}")
+            fresh.filter("__written").drop("__written", "__error").write.mode("overwrite").parquet(f"{gold}/batch={number}")
         finally:
             fresh.unpersist()
         for k, n in (("total", total), ("written", counts.w), ("skipped", counts.n - counts.w), ("deduped", total - counts.n)):
             stats[k] += n
+        batches += 1
+        log.progress(batches, stats["total"])
 
-    query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    failure = None
+    try:
+        query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    except Exception as e:
+        failure = e
+        log.event("stream_failed", error=f"{type(e).__name__}: {e}", **stats)
+        raise
+    finally:
+        if report is not None:
+            report(stats, failure)
+        log.event("stream_complete", failed=failure is not None, **stats)
     return stats

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import adapters, builders, consensus, mixture, reports, rows, scoring
 from gristmill.sources import catalog, config, images, records
-from gristmill.streaming import dedup
+from gristmill.streaming import dedup, log
 
 
 def test_agreement_is_plurality_of_two(spark):
@@ -214,6 +214,37 @@ def test_stream_dedup_retries_skipped_and_drops_written(spark, tmp_path):
     assert sorted(r.record_key for r in spark.read.parquet(f"{tmp_path}/gold").collect()) == ["x", "x", "y"]
 
 
+def test_stream_goes_on_after_a_bad_row_and_reports_a_failure(spark, tmp_path):
+    schema = "record_key string, image string, good boolean"
+    paths = records.record_paths(str(tmp_path), "d", "train")
+    report = dedup.manifest_report(spark, "d", "train", {"batch": 2}, paths, str(tmp_path))
+
+    def run(data, written):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        error = F.when(F.col("image").isNull(), "image_prepare_failed")
+        return dedup.run(source, gold=f"{tmp_path}/gold", checkpoint=f"{tmp_path}/check", key="record_key", written=written, error=error, skipped=f"{tmp_path}/skipped", report=report)
+
+    told = lambda: json.loads((tmp_path / "d_train_manifest.json").read_text())["stats"]
+    stats = run([("x", "i", True), ("y", None, True), ("z", "i", False), (None, "i", None)], F.col("good"))
+    assert stats == told() == {"total": 4, "written": 1, "skipped": 3, "deduped": 0}
+    left = spark.read.parquet(f"{tmp_path}/skipped").select("record_key", "skip_error").collect()
+    assert {tuple(r) for r in left} == {("y", "image_prepare_failed"), ("z", None), (None, None)}
+    with pytest.raises(Exception, match="no teacher"):
+        run([("v", "i", True)], F.raise_error(F.lit("no teacher")).cast("boolean"))
+    assert told() == {"total": 0, "written": 0, "skipped": 0, "deduped": 0}
+    assert run([], F.col("good"))["written"] == 1  # the batch that failed runs again
+    assert sorted(r.record_key for r in spark.read.parquet(f"{tmp_path}/gold").collect()) == ["v", "x"]
+
+
+def test_log_lines():
+    shown = log.JsonLines()
+    record = log.LOGGER.makeRecord("gristmill", 20, "f", 1, "stream_progress", (), None, extra={"fields": {"event": "stream_progress", "rows": 3}})
+    assert json.loads(shown.format(record)).items() >= {"level": "INFO", "logger": "gristmill", "event": "stream_progress", "rows": 3}.items()
+    plain = log.LOGGER.makeRecord("gristmill", 30, "f", 1, "%s rows", (7,), None)
+    assert json.loads(shown.format(plain))["message"] == "7 rows"
+
+
 def test_prepared_and_requests(spark):
     schema = "id string, dataset string, image string, image_path string, image_ref string, image_sha256 string, question string, answer string, answer_type string, task_type string, chart_type string, metadata map<string,string>"
     df = spark.createDataFrame([("s", "d", "i", "/p", "r", "h", "q", "a", "text", None, None, {"image_ref": "own", "k": "v"}), ("t", "d", "i", "/p", "r", "h", "q", "a", "numeric", "arithmetic", "bar", None)], schema)
