@@ -2,6 +2,12 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns the rows that the next stage gets, once they have been written and read.
+
+Every stage stands nulls in any column, empty and very long texts, an empty table (which
+stays empty to the end) and further columns of any name, which all but the last pass on.
+Null and empty texts and those without letters go with the first stage.  Equal rows share
+the fate of one another in the first two; of them and of near copies one row stays in the
+third (smallest doc_id, then file order).  Equal draws in the mix are settled by size.
 """
 
 from __future__ import annotations
