@@ -57,8 +57,7 @@ def tokenize(texts: list[bytes | None], step: int = 1 << 20) -> tuple[np.ndarray
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
         parts.append(_tokenize(texts[at:to]))
         at = to
-    parts = parts or [_tokenize([])]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return tuple(_joined(parts or [_tokenize([])]))
 
 
 def _tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,15 +83,37 @@ def _tokenize(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 def _pairs(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
     """Adds up the counts of equal (word, context); sorted by both."""
     order = np.lexsort((contexts, words))
-    words, contexts, counts = words[order], contexts[order], counts[order]
+    words = words[order]  # one after the other, so that each lets go of what was given
+    contexts = contexts[order]
+    counts = counts[order]
+    del order
     first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])][: len(words)])
-    return words[first], contexts[first], np.add.reduceat(counts, first) if len(first) else counts
+    return words[first], contexts[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts
+
+
+def _joined(held: list[tuple]) -> Iterator[np.ndarray]:
+    """The columns of ``held``, each in one array; empties the list."""
+    columns = list(zip(*held, strict=True))
+    held.clear()
+    while columns:
+        yield np.concatenate(columns.pop(0))
 
 
 def _blob(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Counts or places in the narrowest type that holds the largest; what travels is
+    held several times over, by the JVM, by Arrow and here."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max())) if len(numbers) else np.uint8).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of :func:`_narrow`."""
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n] if n else np.uint8)
+
+
 _COUNTS = "shard long, words binary, contexts binary, counts binary"
 _MODEL = f"{_COUNTS}, tokens long"
 
@@ -102,18 +123,17 @@ def _count_batches(batches, shards: int, flush: int = 600_000):
     size = 0
 
     def out():
-        words, contexts, counts = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        held.clear()
-        shard = (words % np.uint64(shards)).astype(np.int64)
+        words, contexts, counts = _pairs(*_joined(held))
+        shard = (words % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        rows = [(p, *_blob(words[at], contexts[at], counts[at])) for p in range(shards) if len(at := order[cuts[p] : cuts[p + 1]])]
+        rows = [(p, *_blob(words[at], contexts[at]), _narrow(counts[at])) for p in range(shards) if len(at := order[cuts[p] : cuts[p + 1]])]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "words", "contexts", "counts"])
 
     for batch in batches:
         for _, texts in text_slices(batch, 0):
             words, contexts, _ = tokenize(texts)
-            held.append(_pairs(words, contexts, np.ones(len(words), np.int64)))
+            held.append(_pairs(words, contexts, np.ones(len(words), np.uint8)))
             size += len(held[-1][0])
             if size > flush:
                 yield out()
@@ -127,9 +147,9 @@ def _merge_counts(group: pd.DataFrame) -> pd.DataFrame:
     words, contexts, counts = _pairs(
         np.concatenate([np.frombuffer(x, np.uint64) for x in group.words]),
         np.concatenate([np.frombuffer(x, np.uint16) for x in group.contexts]),
-        np.concatenate([np.frombuffer(x, np.int64) for x in group.counts]),
+        np.concatenate([_numbers(x, len(w) // 8) for x, w in zip(group.counts, group.words, strict=True)]),
     )
-    return pd.DataFrame([(group.shard.iloc[0], *_blob(words, contexts, counts), counts.sum())], columns=["shard", "words", "contexts", "counts", "tokens"])
+    return pd.DataFrame([(group.shard.iloc[0], *_blob(words, contexts), _narrow(counts), counts.sum())], columns=["shard", "words", "contexts", "counts", "tokens"])
 
 
 @dataclass
@@ -232,7 +252,7 @@ class Shard:
         self.rooms = [contexts, contexts[self.first_one] >> 8, np.zeros(len(self.words), np.uint8)]
         self.customers = [counts, np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.seats([np.ones(len(x), np.int32) for x in (counts, self.to_word, self.words)])
-        self.counts = np.add.reduceat(np.add.reduceat(counts, self.first_one), self.first_word) if len(counts) else counts
+        self.counts = np.add.reduceat(np.add.reduceat(counts, self.first_one, dtype=np.int64), self.first_word) if len(counts) else counts
 
     def seats(self, tables: list[np.ndarray]) -> None:
         self.tables = tables
@@ -286,7 +306,8 @@ class Shard:
 
 
 def _shard(row) -> Shard:
-    return Shard(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["contexts"], np.uint16), np.frombuffer(row["counts"], np.int64))
+    words = np.frombuffer(row["words"], np.uint64)
+    return Shard(words, np.frombuffer(row["contexts"], np.uint16), _numbers(row["counts"], len(words)))
 
 
 def _replay(shard: Shard, process: Process) -> Iterator[tuple[Shard, Totals]]:
@@ -330,25 +351,31 @@ def fit(counts: DataFrame, process: Process, samples: int = 2) -> Process:
 
 
 def _packed_batches(batches, shards: int, copies: dict[int, int]):
-    """One row with the ids of each run of documents, and one for each shard with its tokens."""
+    """One row with the ids of each run of documents, and one for each shard with its tokens,
+    sorted by word: the distinct words and after them a bit for each token, 1 at a word's first."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         for part, texts in text_slices(batch, 2, 4 << 20):
             run = (task << 32) | number
             number += 1
             words, contexts, sizes = tokenize(texts)
-            docs = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+            docs = np.repeat(np.arange(len(texts), dtype=np.min_scalar_type(len(texts))), sizes)
+            del texts
             shard = (words % np.uint64(shards)).astype(np.int32)
             order = np.lexsort((contexts, words, shard))
-            words, contexts, docs, shard = words[order], contexts[order], docs[order], shard[order]
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            del shard
+            words = words[order]
+            contexts = contexts[order]
+            docs = docs[order]
+            del order
             rows = [(-1 - run % shards, 0, run, *_blob(sizes), None, None, part.column(0).to_pylist(), part.column(1).to_pylist())]
             for p in range(shards):
                 at = slice(cuts[p], cuts[p + 1])
                 if cuts[p] < cuts[p + 1]:
                     fresh = np.r_[True, words[at][1:] != words[at][:-1]]
-                    packed = _blob(words[at][fresh], np.diff(np.r_[np.flatnonzero(fresh), len(fresh)]).astype(np.int32))
-                    rows.append((p, run % copies.get(p, 1), run, packed[0] + packed[1], *_blob(contexts[at], docs[at]), None, None))
+                    packed = _blob(words[at][fresh], np.packbits(fresh))
+                    rows.append((p, run % copies.get(p, 1), run, packed[0] + packed[1], *_blob(contexts[at]), _narrow(docs[at]), None, None))
             types = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(part.column(0).type), pa.list_(pa.bool_()))
             names = ["shard", "copy", "run", "words", "contexts", "docs", "ids", "held"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -372,9 +399,11 @@ def _score_shard(model: pd.DataFrame, tokens: pd.DataFrame, process: Process) ->
         sampled.append((back, word, own, float(process.base(totals.words)[1] * back[2][0][0])))
     out = []
     for r in tokens.itertuples():
-        contexts, docs = np.frombuffer(r.contexts, np.uint16).astype(np.int64), np.frombuffer(r.docs, np.int32)
-        n = len(r.words) // 12
-        unique, repeats = np.frombuffer(r.words[: 8 * n], np.uint64), np.frombuffer(r.words[8 * n :], np.int32)
+        contexts = np.frombuffer(r.contexts, np.uint16).astype(np.int64)
+        docs = _numbers(r.docs, len(contexts))
+        n = (len(r.words) - (len(contexts) + 7) // 8) // 8
+        unique, fresh = np.frombuffer(r.words, np.uint64, n), np.unpackbits(np.frombuffer(r.words, np.uint8, offset=8 * n), count=len(contexts))
+        repeats = np.diff(np.r_[np.flatnonzero(fresh), len(fresh)])
         at = np.searchsorted(shard.words, unique)
         found = at < len(shard.words)
         found[found] = shard.words[at[found]] == unique[found]
@@ -398,7 +427,7 @@ def _score_shard(model: pd.DataFrame, tokens: pd.DataFrame, process: Process) ->
         texts, place = np.unique(docs, return_inverse=True)
         base = np.repeat(np.log10(counts + 1.0), repeats)
         out.append(
-            (r.run, *_blob(texts, np.bincount(place, known).astype(np.int32), np.bincount(place, base), np.bincount(place, logs)), None, None, None)
+            (r.run, _narrow(texts), _narrow(np.bincount(place, known)), *_blob(np.bincount(place, base), np.bincount(place, logs)), None, None, None)
         )
     return pd.DataFrame(out, columns=columns)
 
@@ -407,9 +436,9 @@ def _sum_run(group: pd.DataFrame, tokens: int, words: int) -> pd.DataFrame:
     head = group[group.sizes.notna()].iloc[0]
     sizes = np.frombuffer(head.sizes, np.int64)
     known, base, score = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
-    for r in group[group.sizes.isna()].sort_values("docs").itertuples():
-        docs = np.frombuffer(r.docs, np.int32)
-        known[docs] += np.frombuffer(r.known, np.int32)
+    for r in group[group.sizes.isna()].sort_values(["docs", "base", "score"]).itertuples():
+        docs = _numbers(r.docs, len(r.base) // 8)
+        known[docs] += _numbers(r.known, len(docs))
         base[docs] += np.frombuffer(r.base, np.float64)
         score[docs] += np.frombuffer(r.score, np.float64)
     base -= sizes * math.log10(tokens + words + 1)
@@ -438,16 +467,18 @@ def score_texts(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     # Shards with twice the usual tokens are read by several tasks; they are the shards of
     # very frequent words, half of all at most.
     usual = counts.agg(F.avg("tokens")).first()[0] or 1.0
-    copies = {r.shard: r.n for r in counts.filter(F.col("tokens") > 2 * usual).select("shard", F.ceil(F.col("tokens") / usual).alias("n")).collect()}
-    hot = df.sparkSession.createDataFrame(list(copies.items()), "shard long, n long")
-    model = counts.drop("tokens").join(hot, "shard", "left")
-    model = model.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1).cast("long")) - 1))).drop("n")
+    n = F.when(F.col("tokens") > 2 * usual, F.ceil(F.col("tokens") / usual)).otherwise(F.lit(1).cast("long"))
+    copies = {r.shard: r.n for r in counts.filter(F.col("tokens") > 2 * usual).select("shard", n.alias("n")).collect()}
+    model = counts.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("tokens")
+    groups = shards + sum(copies.values()) - len(copies)
     identity = rows.schema["id"].dataType
     packed = T._parse_datatype_string("shard long, copy long, run long, words binary, contexts binary, docs binary")
     packed.add("ids", T.ArrayType(identity)).add("held", T.ArrayType(T.BooleanType()))
     tokens = rows.mapInArrow(streamed(lambda it: _packed_batches(it, shards, copies)), packed)
     parts = T._parse_datatype_string("run long, docs binary, known binary, base binary, score binary")
     parts.add("ids", T.ArrayType(identity)).add("held", T.ArrayType(T.BooleanType())).add("sizes", T.BinaryType())
+    # Twice as many partitions as there are groups, so that few tasks get several of them.
+    model, tokens = (x.repartition(2 * groups, "shard", "copy") for x in (model, tokens))
     scored = model.groupBy("shard", "copy").cogroup(tokens.groupBy("shard", "copy")).applyInPandas(lambda a, b: _score_shard(a, b, process), parts)
     n, v = int(process.history[0].customers[0].sum()), process.history[0].words
     out = T.StructType([T.StructField("id", identity)])

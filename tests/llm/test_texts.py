@@ -3,8 +3,11 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -525,6 +528,47 @@ def test_lm_odd_rows(odd, empty):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in unseen)
 
 
+def test_lm_model_is_neither_joined_nor_dealt_twice(spark, sf):
+    """Memory: a table of hot shards made on the driver starts further Python processes on
+    every executor, and a join with it moves the whole model once more."""
+    plan = lm.lm_query(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "LogicalRDD" not in plan
+
+
+@pytest.mark.parametrize("texts", [["one two two three"] * 3, ["the cat " * 400, "", None, "a b c the " * 90], [f"word{i % 9}" for i in range(70_000)]])
+def test_lm_tokens_travel_whole_and_narrow(monkeypatch, texts):
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts, pa.string())], ["id", "held", "text"])
+    (packed,) = lm._packed_batches([batch], 3, {})
+    tokens = pd.DataFrame([r for r in packed.to_pylist() if r["shard"] >= 0])
+    n = sum(len(x) // 2 for x in tokens.contexts)
+    assert n == sum(len(brute_tokens(x)) for x in texts)
+    assert sum(map(len, tokens.docs)) <= (4 if len(texts) > 1 << 16 else 2) * n
+    distinct = {w for x in texts for w in brute_tokens(x)}
+    assert sum(map(len, tokens.words)) <= 8 * len(distinct) + n // 8 + 3
+
+    # They are read back for every text; without a model each has probability one.
+    nothing = [np.zeros(x, np.int64) for x in (1 << 16, 256, 1)]
+    process, seen = lm.Process(history=[lm.Totals(nothing, nothing, 0)] * 3), set()
+    for p in set(tokens["shard"]):
+        for r in lm._score_shard(pd.DataFrame(), tokens[tokens["shard"] == p], process).itertuples():
+            docs = lm._numbers(r.docs, len(r.base) // 8)
+            assert (lm._numbers(r.known, len(docs)) == 0).all() and np.allclose(np.frombuffer(r.score), 0)
+            seen.update(docs.tolist())
+    assert seen == set(range(len(texts)))
+
+
+@pytest.mark.parametrize("top", [0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**40])
+def test_lm_narrow_numbers_come_back(top):
+    x = np.array([0, top, 1], np.int64)
+    assert (lm._numbers(lm._narrow(x), 3) == x).all()
+    assert len(lm._numbers(lm._narrow(x[:0]), 0)) == 0
+    # Sums don't stop at the width of what is summed.
+    words, contexts = np.array([5, 5, 5], np.uint64), np.array([1, 2, 3], np.uint16)
+    assert lm.Shard(words, contexts, lm._numbers(lm._narrow(x), 3)).counts.tolist() == [top + 1]
+    assert lm._pairs(words, contexts[:1].repeat(3), lm._numbers(lm._narrow(x), 3))[2].tolist() == [top + 1]
+
+
 # --- sharding
 
 
