@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gristmill.sources import records
 from gristmill.streaming import log
 
 
 def gold_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """Keys of the gold rows written so far; None before the first batch."""
+    """Keys of the gold rows written so far, with repeats; None before the first batch."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return None
-    return spark.read.parquet(path).select(key).distinct()
+    return spark.read.parquet(path).select(key)
+
+
+def whole_number(rows: DataFrame, key: str) -> bool:
+    return isinstance(rows.select(key).schema[0].dataType, IntegralType)
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Rows whose key isn't among those seen.  Where ``low`` and ``high`` are the smallest
+    and the largest key of ``rows``, whole numbers, only keys between them are read.
+
+    Both sides are dealt by key.  Left to the planner, all keys ever written would go
+    through the driver with each batch until their compressed files pass its limit."""
+    if low is not None and whole_number(seen, key):
+        seen = seen.filter(F.col(key).between(low, high))
+    return rows.join(seen.distinct().hint("merge"), key, "left_anti")
 
 
 def manifest_report(spark: SparkSession, dataset: str, split: str, command: dict, paths: dict[str, str], root: str) -> Callable[[dict, Exception | None], None]:
@@ -61,15 +77,17 @@ def run(
 
     def batch(rows: DataFrame, number: int) -> None:
         nonlocal batches
-        spark = rows.sparkSession
+        spark = rows.sparkSession  # the stream's own
+        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")  # else a file for each shuffle partition
         rows = prepare(rows) if prepare else rows
         seen = gold_keys(spark, gold, key)
         wrong = F.lit(None).cast("string") if error is None else error
         flag = F.coalesce(written, F.lit(False)) & wrong.isNull()
-        fresh = rows if seen is None else rows.join(seen, key, "left_anti")
+        ends = [F.min(key), F.max(key)] if whole_number(rows, key) else []
+        total, *ends = rows.agg(F.count("*"), *ends).first()
+        fresh = rows if seen is None else unseen(rows, seen, key, *ends)
         fresh = fresh.select("*", flag.alias("__written"), wrong.alias("__error")).persist()
         try:
-            total = rows.count()
             counts = fresh.agg(F.count("*").alias("n"), F.count_if("__written").alias("w")).first()
             if skipped is not None:
                 left = fresh.filter("NOT __written").drop("__written").withColumnRenamed("__error", "skip_error")

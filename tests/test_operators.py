@@ -214,6 +214,33 @@ def test_stream_dedup_retries_skipped_and_drops_written(spark, tmp_path):
     assert sorted(r.record_key for r in spark.read.parquet(f"{tmp_path}/gold").collect()) == ["x", "x", "y"]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_stream_broadcasts_no_keys(spark, tmp_path, kind):
+    """Keys that were written don't go through the driver, files don't follow the shuffle's partitions."""
+    frame = lambda low, high: spark.range(low, high).selectExpr(f"CAST(CASE WHEN id % 5 > 0 THEN id END AS {kind}) AS k", "id % 3 > 0 AS good")
+
+    def run(low, high):
+        frame(low, high).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(f"k {kind}, good boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return dedup.run(source, gold=f"{tmp_path}/gold", checkpoint=f"{tmp_path}/check", key="k", written=F.col("good"))
+
+    own = {"spark.sql.maxBroadcastTableSize": "1k", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in (*own, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning")}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert run(0, 6_000) == {"total": 6_000, "written": 4_000, "skipped": 2_000, "deduped": 0}
+        assert run(1_500, 7_500) == {"total": 6_000, "written": 1_000 + 600, "skipped": 2_000, "deduped": 2_400}
+        assert run(0, 60) == {"total": 60, "written": 8, "skipped": 20, "deduped": 32}
+    finally:
+        for k in own:
+            spark.conf.set(k, before[k])
+    assert {k: spark.conf.get(k) for k in before} == before
+    got = spark.read.parquet(f"{tmp_path}/gold").groupBy("k").count()
+    assert got.filter("k IS NOT NULL AND count > 1").count() == 0 and got.filter("k IS NULL").first()["count"] == 800 + 800 + 8
+    assert len(list((tmp_path / "gold" / "batch=1").glob("*.parquet"))) <= 4
+
+
 def test_stream_goes_on_after_a_bad_row_and_reports_a_failure(spark, tmp_path):
     schema = "record_key string, image string, good boolean"
     paths = records.record_paths(str(tmp_path), "d", "train")
